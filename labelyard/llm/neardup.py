@@ -61,7 +61,7 @@ def shingle_sets(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
     h = words.hashes
     n = max(0, len(h) - width + 1)
     rolled = np.zeros(n, np.uint64)
-    factor = np.arange(1, 2 * width, 2, dtype=np.uint64) * GOLD
+    factor = mix(np.arange(1, width + 1, dtype=np.uint64) * GOLD) | np.uint64(1)
     for j in range(width):
         rolled += h[j : n + j] * factor[j]
     rolled = mix(rolled)
