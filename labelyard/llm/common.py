@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -92,10 +91,11 @@ class Words:
                 setattr(cls, name, np.multiply.accumulate(x))
         return cls._pow, cls._inv
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], space: np.ndarray | None = None):
+        """space: for each byte value, whether it parts words (else white space does)."""
         self.buf = buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
         n = len(buf)
-        space = self.SPACE[buf]
+        space = (self.SPACE if space is None else space)[buf]
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1
         if not space[0]:
             edge = np.concatenate(([0], edge))
@@ -104,10 +104,24 @@ class Words:
         value = self.CODE[buf] * pw[:n]
         total = np.cumsum(value, dtype=np.uint64)
         s, e = self.start, self.stop
+        self._sums = total, value, inv
         self.hashes = mix((total[e - 1] - total[s] + value[s]) * inv[s]) if len(s) else np.zeros(0, np.uint64)
         at = np.cumsum([0, *(len(t) + 1 for t in texts)])
         self.first = np.searchsorted(self.start, at)
 
+    def prefixes(self, k: int, which: np.ndarray) -> np.ndarray:
+        """Hashes of the first k bytes of the words in ``which``; they must be longer."""
+        total, value, inv = self._sums
+        s = self.start[which]
+        return mix((total[s + k - 1] - total[s] + value[s]) * inv[s] + np.uint64(int(GOLD) * k % 2**64))
 
-def crc(text: str) -> int:
-    return zlib.crc32(text.encode())
+
+def labelled(labels: DataFrame, column: str) -> DataFrame:
+    """(doc_id, y): one row for each labelled document; of repeated rows the more frequent value,
+    1 in a tie. Null ids and values go."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("double").alias("y")).filter("doc_id is not null and y is not null")
+    return known.groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))

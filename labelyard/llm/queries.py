@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytebpe, neardup, packing
+from . import bytebpe, langid, neardup, outliers, packing, quality, toxicity, urlrep
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,8 +30,28 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.digests(bytebpe.decode(bytebpe.encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrep.judge(table(spark, sf_dir, "pages"))
+
+
+def op10_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.judge(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    own = [op1_best_fit_packing, op3_minhash_near_dedup, op6_byte_bpe]
+    own = [op1_best_fit_packing, op2_toxicity, op3_minhash_near_dedup, op4_language_mixture, op6_byte_bpe, op8_quality_trees, op9_host_reputation, op10_robust_outliers]
     return {q.__name__: q for q in own}
 
 
