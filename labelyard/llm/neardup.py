@@ -9,9 +9,11 @@ Documents with equal sets form a class and one of them stands for it from then o
 found in two rounds and confirmed on full sets:
 
 1. in each bucket every class is compared with the bucket's smallest class;
-2. classes that share a bucket and still belong to different components are compared pair by
-   pair. Large groups of copies are one component by then and add nothing, so pairs are not
-   emitted within a group, and no candidate that could join two components is skipped.
+2. in buckets that still hold several components, all classes are put to an exact prefix join:
+   with shingles in order of frequency among these classes, two sets of that similarity share one
+   near the front of both. Pairs within a component add nothing and are left out; pairs whose
+   positions rule the similarity out are dropped. So neither a large group of copies nor a
+   passage that many documents share makes a quadratic number of pairs, and no link is lost.
 """
 
 from __future__ import annotations
@@ -105,11 +107,8 @@ def full_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH) -> DataFrame:
-    """The (a, b) of ``pairs`` with 100 * |A and B| >= threshold * |A or B|, on full sets. Only
-    texts that stand in a pair are read into sets."""
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    sets = cut(full_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), width))
+def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """The (a, b) of ``pairs`` with 100 * |A and B| >= threshold * |A or B|, on full sets."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
@@ -117,6 +116,26 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int = THRESHOLD, wid
     return cut(pairs.join(right, "b").join(left, "a").filter(100 * both >= threshold * total).select("a", "b").distinct())
 
 
+def prefix_pairs(placed: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(a, b), a < b, of different components that may reach the threshold. placed: (doc_id,
+    component). A token's place i in a set of n bounds the overlap from it on by n - i, and the
+    first common token of a pair must leave room for the overlap that the threshold needs."""
+    own = sets.join(placed, "doc_id").select("doc_id", "component", F.size("shingles").alias("n"), "shingles")
+    tokens = own.select("doc_id", F.explode("shingles").alias("token"))
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    shared = tokens.join(often, "token").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("order"))
+    # tokens of one set only come first: they take places but make no pairs
+    rows = own.select("doc_id", "component", "n").join(shared, "doc_id")
+    rows = rows.select("doc_id", "component", "n", (F.col("n") - F.size("order")).alias("alone"), F.posexplode("order").alias("at", "t"))
+    rows = rows.select("doc_id", "component", "n", F.col("t.token").alias("token"), (F.col("alone") + F.col("at")).alias("i"))
+    rows = cut(rows.filter(100 * (F.col("n") - F.col("i")) >= threshold * F.col("n")))
+    x, y = (rows.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "component", "n", "i")]) for k in "ab")
+    room = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
+    may = (100 + threshold) * room >= threshold * (F.col("n_a") + F.col("n_b"))
+    pairs = x.join(y, "token").filter((F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b")) & may)
+    return cut(pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id in ``edges`` (a, b); component: the smallest id reachable.
 
@@ -162,21 +181,19 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, width: int = WI
     member = candidates(classes)
     fits = lambda x, y: 100 * F.least(x, y) >= threshold * F.greatest(x, y)
 
+    ids = cut(member.select(F.col("id").alias("doc_id")).distinct())
+    sets = cut(full_sets(docs.join(ids, "doc_id", "left_semi"), width))
+
     size = classes.select(F.col("rep").alias("pivot"), F.col("n").alias("n_pivot"))
     stars = member.filter("id <> pivot").select("pivot", "id", "n").distinct().join(size, "pivot").filter(fits(F.col("n"), F.col("n_pivot")))
     stars = cut(stars.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
-    links = confirmed(stars, docs, threshold, width)
+    links = confirmed(stars, sets, threshold)
     first = components(links)
 
-    placed = member.join(first, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-    placed = cut(placed)
+    placed = cut(member.join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
     mixed = cut(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key"))
-    open_ = cut(placed.join(mixed, "key", "left_semi"))
-    x = open_.select("key", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "component")])
-    y = open_.select("key", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "component")])
-    pairs = x.join(y, "key").filter((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & fits(F.col("n_a"), F.col("n_b")))
-    pairs = cut(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"))
-    links = links.unionByName(confirmed(pairs, docs, threshold, width))
+    open_ = cut(placed.join(mixed, "key", "left_semi").select(F.col("id").alias("doc_id"), "component").distinct())
+    links = links.unionByName(confirmed(prefix_pairs(open_, sets, threshold), sets, threshold))
 
     found = components(links)
     group = cut(classes.join(found, classes.rep == found.id, "left").select("digest", F.coalesce("component", "rep").alias("component_id")))
