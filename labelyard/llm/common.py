@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -123,5 +123,17 @@ def labelled(labels: DataFrame, column: str) -> DataFrame:
     return known.groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
 
 
+def kept_rows(docs: DataFrame, scorer: Callable[[], Callable[[list[bytes]], np.ndarray]]) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text ``scorer()`` says true of. ``scorer`` is
+    called once in each task. No rows move between tasks."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = scorer()
+        for batch, texts in batches(it):
+            yield batch.filter(pa.array(np.asarray(of(texts), bool)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))

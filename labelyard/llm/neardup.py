@@ -204,8 +204,10 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, width: int = WI
 
 def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps. Rows with the same id and text: one."""
-    keys = groups.filter("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(keys, "doc_id", "left_semi")
+    keys = cut(groups.filter("kept and doc_id is not null").select("doc_id").distinct())
+    named = docs.filter("doc_id is not null").join(keys, "doc_id", "left_semi").select(*docs.columns)
+    text = F.sha2(F.coalesce("text", F.lit("")), 256)
+    named = named.withColumn("_text", text).dropDuplicates(["doc_id", "_text"]).drop("_text")
     return named.unionByName(docs.filter("doc_id is null"))
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, batches, cut, fold, labelled, sigmoid
+from .common import Words, batches, cut, fold, kept_rows, labelled, sigmoid
 
 #: Labelled rows that a model is fitted on, at most: those with the smallest hashes of their ids.
 FIT_ROWS = 20_000
@@ -162,3 +162,9 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     scored = stats.mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``score`` predicts 1 for."""
+    forest = learn(cut(document_statistics(docs)), labels)
+    return kept_rows(docs, lambda: lambda texts: forest(statistics(texts)) >= ACCEPT)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytebpe, langid, neardup, outliers, packing, quality, toxicity, urlrep
+from . import bytebpe, chat, langid, media, neardup, outliers, packing, quality, toxicity, urlrep
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,17 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_schema_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = r"\### Assistant: </turn> ok"
+    added = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.formatted_turns(chat.canonical_turns(chat.turn_records(rows.unionByName(added)))))
+
+
+def op7_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.columns(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -51,7 +62,7 @@ def op10_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [op1_best_fit_packing, op2_toxicity, op3_minhash_near_dedup, op4_language_mixture, op6_byte_bpe, op8_quality_trees, op9_host_reputation, op10_robust_outliers]
+    own = [op1_best_fit_packing, op2_toxicity, op3_minhash_near_dedup, op4_language_mixture, op5_schema_chat, op6_byte_bpe, op7_media_sequences, op8_quality_trees, op9_host_reputation, op10_robust_outliers]
     return {q.__name__: q for q in own}
 
 
