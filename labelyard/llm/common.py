@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.persist import cut as cut
+
 #: Rows in an Arrow batch; texts may be long, so a batch must stay small.
 BATCH_ROWS = 1024
 #: Bytes of text that a numpy kernel takes at once.
@@ -24,18 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there.
-
-    The folder is ``spark.checkpoint.dir``; a temporary one is set only where that is unset
-    (tests on one machine). Lost executors cost a reread, not a recomputation.
-    """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
-
-
 def fold(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; ids that are null get null."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n

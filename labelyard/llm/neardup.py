@@ -27,6 +27,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import GOLD, Words, batches, cut, mix
 
 WIDTH = 5
@@ -136,31 +137,6 @@ def prefix_pairs(placed: DataFrame, sets: DataFrame, threshold: int = THRESHOLD)
     return cut(pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct())
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of every id in ``edges`` (a, b); component: the smallest id reachable.
-
-    Each round hooks every id to its smallest neighbour, follows hooks twice more and contracts
-    the edges; a chain or star of any length shrinks several times over in each round.
-    """
-    edges = cut(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    found = None
-    while not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("a").alias("b"), F.col("b").alias("a")))
-        hook = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("up")))
-        for _ in range(2):
-            above = hook.select(F.col("id").alias("up"), F.col("up").alias("top"))
-            hook = cut(hook.join(above, "up").select("id", F.col("top").alias("up")))
-        one = hook.select(F.col("id").alias("a"), F.col("up").alias("ua"))
-        two = hook.select(F.col("id").alias("b"), F.col("up").alias("ub"))
-        edges = cut(edges.join(two, "b").join(one, "a").filter("ua <> ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct())
-        if found is None:
-            found = hook.select("id", F.col("up").alias("component"))
-        else:
-            above = hook.select(F.col("id").alias("component"), F.col("up").alias("top"))
-            found = cut(found.join(above, "component", "left").select("id", F.coalesce("top", "component").alias("component")))
-    return found if found is not None else edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
-
-
 def candidates(classes: DataFrame) -> DataFrame:
     """(key, id, n, pivot): classes of every bucket that has two or more of them."""
     rows = classes.select(F.col("rep").alias("id"), "n", F.explode("bands").alias("key"))
