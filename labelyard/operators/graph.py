@@ -11,17 +11,21 @@ from .persist import cut
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id in ``edges`` (a, b); component: the smallest id reachable.
 
-    Each round hooks every id to its smallest neighbour, follows hooks twice more and contracts
-    the edges; a chain or star of any length shrinks several times over in each round.
+    Each round hooks every id to its smallest neighbour, follows hooks to their roots by doubling
+    steps, and contracts the edges to roots. A chain takes one round and as many doublings as its
+    length has bits, a star two rounds at most.
     """
     edges = cut(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     found = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("a").alias("b"), F.col("b").alias("a")))
         hook = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("up")))
-        for _ in range(2):
+        while True:
             above = hook.select(F.col("id").alias("up"), F.col("up").alias("top"))
-            hook = cut(hook.join(above, "up").select("id", F.col("top").alias("up")))
+            step = cut(hook.join(above, "up").select("id", "up", F.col("top")))
+            hook = step.select("id", F.col("top").alias("up"))
+            if step.filter("up <> top").isEmpty():
+                break
         one = hook.select(F.col("id").alias("a"), F.col("up").alias("ua"))
         two = hook.select(F.col("id").alias("b"), F.col("up").alias("ub"))
         edges = cut(edges.join(two, "b").join(one, "a").filter("ua <> ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct())
