@@ -182,8 +182,8 @@ def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps. Rows with the same id and text: one."""
     keys = cut(groups.filter("kept and doc_id is not null").select("doc_id").distinct())
     named = docs.filter("doc_id is not null").join(keys, "doc_id", "left_semi").select(*docs.columns)
-    text = F.sha2(F.coalesce("text", F.lit("")), 256)
-    named = named.withColumn("_text", text).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    text = next(n for n in map("_text{}".format, range(len(docs.columns) + 1)) if n not in docs.columns)
+    named = named.withColumn(text, F.sha2(F.coalesce("text", F.lit("")), 256)).dropDuplicates(["doc_id", text]).drop(text)
     return named.unionByName(docs.filter("doc_id is null"))
 
 

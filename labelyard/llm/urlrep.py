@@ -43,7 +43,7 @@ def bad_page(html: Column) -> Column:
     length = F.greatest(F.length(text), F.lit(1))
     count = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
     symbols, bars, bangs = count("#*$%&"), count("|"), count("!")
-    upper = F.length(text) - F.length(F.regexp_replace(text, "[A-Z]", ""))
+    upper = count("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
     bad = (words < 30) | (symbols > 0.03 * length) | (bars > 0.2 * words) | (bangs > 0.2 * words) | (upper > 0.3 * length)
     return F.when(html.isNotNull(), bad.cast("int"))
 
