@@ -54,7 +54,7 @@ def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlrep.judge(table(spark, sf_dir, "pages"))
+    return urlrep.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op10_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,5 +66,56 @@ def queries() -> dict[str, Query]:
     return {q.__name__: q for q in own}
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: All pairs that share a shingle, their exact similarity, and components.
+NEAR_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (sh) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+two AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, t.b FROM reach r JOIN two t ON r.b = t.a),
+comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM comp LEFT JOIN n USING (doc_id)"""
+
+#: The template's lengths follow from its escapes; digests are of texts in order.
+CHAT_SQL = r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, length(replace(replace(replace(text, '\', '\\'), '###', '\h'), '</turn>', '\t')) AS body,
+  length(replace(replace(replace(replace(replace(role, '\', '\\'), '###', '\h'), '</turn>', '\t'), ':', '\c'), chr(10), '\n')) AS head FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, sum(4 + head + 2 + body + 8)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id""".replace("\\\\", "\\\\")
+
+
+def _level_sql(level: str, rows: str, mean: str) -> str:
+    """CTEs of a level's strength and posterior from ``rows`` with n, k and ``mean``."""
+    return f"""{level}_m AS ({rows}),
+{level}_s AS (SELECT CASE WHEN more > 0 AND seen > plain THEN least({urlrep.STRONGEST}, greatest({urlrep.WEAKEST}, more / (seen - plain) - 1)) ELSE {urlrep.STRONGEST} END AS s
+  FROM (SELECT sum(pow(k - n * {mean}, 2)) AS seen, sum(n * {mean} * (1 - {mean})) AS plain, sum(n * (n - 1) * {mean} * (1 - {mean})) AS more FROM {level}_m WHERE n > 0)),
+{level}_p AS (SELECT {level}, n + s AS size, (k + s * {mean}) / (n + s) AS rate FROM {level}_m, {level}_s)"""
+
+
+_FIT = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{{}}'".replace("{}", f"{h}{p}") for _, h, p in sorted(urlrep.RULES, key=lambda r: -len(r[1] + r[2])))
+_SAY = " ".join(f"WHEN '{h}{p}' THEN '{v}'" for v, h, p in urlrep.RULES)
+HOST_SQL = rf"""WITH p AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest,
+  regexp_replace(html, '{urlrep.HIDDEN}', ' ', 'g') AS t FROM pages),
+q AS (SELECT page_id, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path, t,
+  len(regexp_split_to_array(trim(t), '\s+')) AS words, greatest(length(t), 1) AS size FROM p),
+o AS (SELECT page_id, host, path, CASE WHEN t IS NOT NULL THEN (words < 30 OR length(t) - length(translate(t, '#*$%&', '')) > 0.03 * size OR length(t) - length(translate(t, '|', '')) > 0.2 * words
+  OR length(t) - length(translate(t, '!', '')) > 0.2 * words OR length(t) - length(translate(t, '{UPPER}', '')) > 0.3 * size)::INT END AS bad FROM q),
+h AS (SELECT host, CASE WHEN regexp_extract(host, '([^.]*\.[^.]*)$', 1) = '' THEN host ELSE regexp_extract(host, '([^.]*\.[^.]*)$', 1) END AS domain, regexp_extract(host, '([^.]*)$', 1) AS suffix, count(bad) AS n, coalesce(sum(bad), 0) AS k FROM o GROUP BY 1),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY ALL), x AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY ALL),
+{_level_sql("suffix", "SELECT *, (SELECT (sum(k) + 1) / (sum(n) + 2) FROM x) AS mean FROM x", "mean")},
+{_level_sql("domain", "SELECT d.*, rate AS mean FROM d JOIN suffix_p USING (suffix)", "mean")},
+{_level_sql("host", "SELECT h.*, rate AS mean FROM h JOIN domain_p USING (domain)", "mean")},
+r AS (SELECT page_id, host, path, CASE {_FIT} END AS rule FROM o)
+SELECT page_id, host, path, rule, CASE rule {_SAY} ELSE (CASE WHEN rate - {urlrep.BOUND} * sqrt(rate * (1 - rate) / (size + 1)) > {urlrep.ACCEPTED} THEN 'block' ELSE 'allow' END) END AS verdict
+FROM r JOIN host_p USING (host)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express a query; tests compare the others with brute force."""
+    return {"op3_minhash_near_dedup": NEAR_SQL, "op5_schema_chat": CHAT_SQL, "op9_host_reputation": HOST_SQL}

@@ -20,6 +20,8 @@ RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow",
 ACCEPTED, BOUND = 0.5, 1.645
 #: Limits of a prior's strength in pages.
 WEAKEST, STRONGEST = 1.0, 1000.0
+#: What isn't visible text of a page.
+HIDDEN = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>|&[a-z]+;"
 LEVELS = ("suffix", "domain", "host")
 
 
@@ -38,7 +40,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def bad_page(html: Column) -> Column:
     """1 for a page whose visible text is short, mostly symbols, shouted or a table of fragments;
     0 for others; null without a page."""
-    text = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->|<[^>]*>|&[a-z]+;", " ")
+    text = F.regexp_replace(html, HIDDEN, " ")
     words = F.size(F.split(F.trim(text), r"\s+"))
     length = F.greatest(F.length(text), F.lit(1))
     count = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
