@@ -104,3 +104,13 @@ def digest(rows: DataFrame, *order: str) -> DataFrame:
     row = F.sha2(F.to_json(F.struct(*order)), 256)
     parts = rows.select(row.alias("h")).groupBy(F.substring("h", 1, 4).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"))
     return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x["d"]), ""), 256).alias("digest"))
+
+
+def resolve_paths(rows: DataFrame, known: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(filename, path, n_candidates) for rows (filename): the path of ``known`` (filename,
+    relative_path), else the only one of ``candidates`` (filename, paths). A null path with
+    n_candidates other than 1 couldn't be resolved."""
+    found = rows.join(known.select("filename", "relative_path"), "filename", "left").join(candidates, "filename", "left")
+    n = F.coalesce(F.size("paths"), F.lit(0))
+    only = F.when(n == 1, F.get("paths", F.lit(0)))
+    return found.select("filename", F.coalesce(F.nullif("relative_path", F.lit("")), only).alias("path"), n.alias("n_candidates"))
