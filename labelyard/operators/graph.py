@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .manifest import positions
 from .persist import cut
 
 
@@ -44,7 +45,7 @@ def members(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 def numbered(found: DataFrame, prefix: str, first: int = 0) -> DataFrame:
     """Adds ``group_id``: components of two or more members in order of their smallest id, as
-    prefix and four digits. Only component keys, not members, meet in one order."""
-    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    order = sizes.select("component", F.row_number().over(Window.orderBy("component")).alias("i"))
-    return found.join(order, "component").select("id", "component", F.format_string(prefix + "%04d", F.col("i") - 1 + first).alias("group_id"))
+    prefix and four digits."""
+    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component")
+    order = cut(positions(sizes, "component", name="i", first=first))
+    return found.join(order, "component").select("id", "component", F.format_string(prefix + "%04d", F.col("i")).alias("group_id"))

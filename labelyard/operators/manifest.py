@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,10 +28,27 @@ def positions(df: DataFrame, *order: Column | str, name: str = "position", first
     return rows.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + at + first).drop("_id", "_part", "_before")
 
 
+def first_by(df: DataFrame, keys: list[str], *order: Column | str, last: bool = False) -> DataFrame:
+    """The first (or last) row of each key, by an aggregation that combines before the shuffle: a
+    hot key costs one row for each task."""
+    pick = F.max_by if last else F.min_by
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(pick(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*").select(*df.columns)
+
+
 def last_of_key(df: DataFrame, key: str, position: str) -> DataFrame:
     """The last row of each key by position; blank and null keys go."""
-    rows = df.filter(F.coalesce(F.trim(key), F.lit("")) != "")
-    return rows.withColumn("_at", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(position)))).filter("_at = 1").drop("_at")
+    return first_by(df.filter(F.coalesce(F.trim(key), F.lit("")) != ""), [key], position, last=True)
+
+
+def ranks(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
+    """Adds ``rank`` (from 1) and ``rank_n`` (rows) in each key's order. Rows are numbered in one
+    order of keys and rows, so that a key with a third of all rows is spread over many tasks."""
+    rows = positions(df, *keys, *order, name="_p")
+    starts = rows.groupBy(*keys).agg(F.min("_p").alias("_s"), F.count(F.lit(1)).alias("rank_n"))
+    starts = cut(starts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_s", "rank_n"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    return rows.join(starts, same).select(*df.columns, (F.col("_p") - F.col("_s") + 1).alias("rank"), "rank_n")
 
 
 def sequence_blocks(rows: DataFrame, frame: str = "frame_id", gap: int = 1, prefix: str = "file_block_") -> DataFrame:
@@ -64,10 +84,12 @@ def group_type(split: str = "split") -> Column:
 def later_duplicates(rows: DataFrame) -> DataFrame:
     """(filename, training_use, reason) of labelled train rows: all but the first of equal digests
     by (frame, path) are disabled; rows without a digest stay."""
-    some = rows.filter("split = 'train' and label is not null")
-    w = Window.partitionBy("sha256").orderBy(F.asc_nulls_last("frame_id"), "relative_path")
-    later = (F.coalesce("sha256", F.lit("")) != "") & (F.row_number().over(w) > 1)
-    return some.select("filename", (~later).alias("training_use"), F.when(later, "later_exact_duplicate").otherwise("").alias("training_exclusion_reason"))
+    some = rows.filter("split = 'train' and label is not null").select("filename", "sha256", "frame_id", "relative_path")
+    order = F.struct(F.col("frame_id").isNull(), "frame_id", "relative_path")
+    first = cut(some.groupBy("sha256").agg(F.min_by("relative_path", order).alias("first_path")))
+    later = (F.coalesce("sha256", F.lit("")) != "") & (F.col("relative_path") != F.col("first_path"))
+    used = some.join(first, "sha256", "left")
+    return used.select("filename", F.coalesce(~later, F.lit(True)).alias("training_use"), F.when(later, "later_exact_duplicate").otherwise("").alias("training_exclusion_reason"))
 
 
 def histogram(rows: DataFrame, keys: list[str], label: str) -> DataFrame:
@@ -99,8 +121,8 @@ def review_queue(rows: DataFrame, minority: int = MINORITY) -> DataFrame:
 
 
 def digest(rows: DataFrame, *order: str) -> DataFrame:
-    """One digest of a table: of the sorted row digests of 256 parts, so that no list of all rows
-    is built (each part's rows are hashed in order)."""
+    """One digest of a table in any order of its rows: of 65,536 parts by row digest, each the
+    digest of its sorted row digests, so that no list of all rows is built."""
     row = F.sha2(F.to_json(F.struct(*order)), 256)
     parts = rows.select(row.alias("h")).groupBy(F.substring("h", 1, 4).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"))
     return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x["d"]), ""), 256).alias("digest"))
@@ -108,9 +130,8 @@ def digest(rows: DataFrame, *order: str) -> DataFrame:
 
 def resolve_paths(rows: DataFrame, known: DataFrame, candidates: DataFrame) -> DataFrame:
     """(filename, path, n_candidates) for rows (filename): the path of ``known`` (filename,
-    relative_path), else the only one of ``candidates`` (filename, paths). A null path with
-    n_candidates other than 1 couldn't be resolved."""
+    relative_path), else the only one of ``candidates`` (filename, n_paths, first_path). A null path
+    with n_candidates other than 1 couldn't be resolved."""
     found = rows.join(known.select("filename", "relative_path"), "filename", "left").join(candidates, "filename", "left")
-    n = F.coalesce(F.size("paths"), F.lit(0))
-    only = F.when(n == 1, F.get("paths", F.lit(0)))
-    return found.select("filename", F.coalesce(F.nullif("relative_path", F.lit("")), only).alias("path"), n.alias("n_candidates"))
+    n = F.coalesce("n_paths", F.lit(0).cast("long"))
+    return found.select("filename", F.coalesce(F.nullif("relative_path", F.lit("")), F.when(n == 1, F.col("first_path"))).alias("path"), n.alias("n_candidates"))

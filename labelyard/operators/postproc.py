@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
+from .manifest import ranks
 from .metrics import confusion, per_class, summary
 from .persist import cut
 
@@ -45,11 +46,9 @@ def crossfit_thresholds(rows: DataFrame, labels: int, majority: int, grid: Seque
 def support_split(rows: DataFrame, fraction: float = 0.6, least: int = 4) -> DataFrame:
     """Adds ``is_support``: of each group of ``least`` rows or more, the first
     max(2, min(round(n * fraction), n - 2)) by frame; rounding is half to even."""
-    w = Window.partitionBy("group_id")
-    n, at = F.count(F.lit(1)).over(w), F.row_number().over(w.orderBy("frame", "filename"))
-    some = rows.withColumn("group_n", n).withColumn("group_at", at).filter(F.col("group_n") >= least)
-    take = F.greatest(F.lit(2), F.least(F.bround(F.col("group_n") * fraction).cast("int"), F.col("group_n") - 2))
-    return some.withColumn("is_support", F.col("group_at") <= take).drop("group_n", "group_at")
+    some = ranks(rows, ["group_id"], "frame", "filename").filter(F.col("rank_n") >= least)
+    take = F.greatest(F.lit(2), F.least(F.bround(F.col("rank_n") * fraction).cast("long"), F.col("rank_n") - 2))
+    return some.withColumn("is_support", F.col("rank") <= take).drop("rank", "rank_n")
 
 
 def class_shares(rows: DataFrame, labels: int, *keys: str) -> DataFrame:
@@ -74,11 +73,18 @@ def seen_prior(rows: DataFrame, labels: int, strengths: Sequence[float]) -> Data
     return query.withColumn("pred_id", with_prior("probs", "own", "everything", F.col("strength"))).drop("own", "everything")
 
 
+def exact_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys..., median): the mean of the middle two values, found by rank and not in one task's
+    memory."""
+    ranked = ranks(rows.select(*keys, value), keys, value)
+    middle = F.col("rank").isin(F.floor((F.col("rank_n") + 1) / 2), F.floor(F.col("rank_n") / 2) + 1)
+    return ranked.filter(middle).groupBy(*keys).agg(F.avg(value).alias("median"))
+
+
 def group_median(rows: DataFrame, key: str, value: str = "probs") -> DataFrame:
     """(key, median): the exact median of each place, the mean of the middle two."""
-    flat = rows.select(key, F.posexplode(value).alias("i", "x"))
-    medians = flat.groupBy(key, "i").agg(F.percentile("x", F.lit(0.5)).alias("m"))
-    return medians.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("median"))
+    medians = exact_median(rows.select(key, F.posexplode(value).alias("i", "x")), [key, "i"], "x")
+    return medians.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "median"))), lambda s: s["median"]).alias("median"))
 
 
 def smoothed(rows: DataFrame, shares: Sequence[float]) -> DataFrame:

@@ -53,6 +53,8 @@ def submission(rows: DataFrame, label: str) -> DataFrame:
 
 
 def merge_reasons(rows: DataFrame, key: str, reason: str, order: str) -> DataFrame:
-    """(key, reasons): distinct reasons in first order, joined by `||`."""
-    listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(reason).alias("r")))), lambda x: x["r"])
-    return rows.groupBy(key).agg(F.array_join(F.array_distinct(listed), "||").alias("reasons"))
+    """(key, reasons): distinct reasons in first order, joined by `||`. Repetitions go before the
+    lists are made."""
+    first = rows.groupBy(key, F.col(reason).alias("r")).agg(F.min(order).alias("o"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("o", "r"))), lambda x: x["r"])
+    return first.groupBy(key).agg(F.array_join(listed, "||").alias("reasons"))

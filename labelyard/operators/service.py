@@ -6,9 +6,11 @@ refused.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .manifest import first_by
+
 ORDER_STATES = ("pending", "in_progress", "completed")
 
 
@@ -17,8 +19,7 @@ def alerts(detections: DataFrame) -> DataFrame:
     confidence, ts), the first of each id."""
     summary = F.concat(F.coalesce("category", F.lit("unknown")), F.lit(" "), F.format_string("%.2f", F.coalesce("confidence", F.lit(0.0))))
     rows = detections.select(F.concat(F.lit("ALT-"), F.col("detection_id").cast("string")).alias("alert_id"), F.lit("pending").alias("status"), summary.alias("rule_summary"), F.col("ts").alias("created_at"))
-    first = F.row_number().over(Window.partitionBy("alert_id").orderBy("created_at", "rule_summary"))
-    return rows.withColumn("_at", first).filter("_at = 1").drop("_at")
+    return first_by(rows, ["alert_id"], "created_at", "rule_summary")
 
 
 def with_status(alerts_: DataFrame, status: str | None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names
@@ -14,6 +14,7 @@ from ..operators import review as R
 from ..operators import similarity as S
 from ..operators import validate as V
 from ..operators.metrics import METRIC_COLUMNS, metrics, rounded
+from ..operators.persist import cut
 from .evaluation import class_sql, metric_sql
 from .fixtures import DECISIONS_SQL, HASHES_SQL, MANIFEST_SQL, PRED2_SQL, PRED_SQL, decisions, hashes, manifest, pred, pred2, sql, table
 
@@ -112,12 +113,12 @@ def dup_group_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(spark, sf_dir).groupBy("sha256").agg(F.count(F.lit(1)).alias("n"), A.group_type().alias("group_type")).filter("n > 1")
 
 
-@query(sql(MANIFEST_SQL, body="SELECT sha256, string_agg(relative_path, ';' ORDER BY relative_path) AS members FROM manifest GROUP BY 1 HAVING count(DISTINCT split) > 1"))
+@query(sql(MANIFEST_SQL, body="SELECT sha256, relative_path, split FROM manifest WHERE sha256 IN (SELECT sha256 FROM manifest GROUP BY 1 HAVING count(DISTINCT split) > 1)"))
 def dup_override(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members of groups across splits."""
+    """Members of groups across splits, a row each."""
     rows = manifest(spark, sf_dir)
-    across = rows.groupBy("sha256").agg(F.countDistinct("split").alias("s")).filter("s > 1").select("sha256")
-    return rows.join(across, "sha256").groupBy("sha256").agg(F.array_join(F.array_sort(F.collect_list("relative_path")), ";").alias("members"))
+    across = rows.groupBy("sha256").agg(F.min("split").alias("a"), F.max("split").alias("b")).filter("a < b").select("sha256")
+    return rows.join(cut(across), "sha256").select("sha256", "relative_path", "split")
 
 
 BLOCK_SQL = "blocks AS (SELECT doc_id, sum(new) OVER (ORDER BY doc_id) - 1 AS block FROM (SELECT doc_id, CASE WHEN doc_id - lag(doc_id) OVER (ORDER BY doc_id) > 1 OR lag(doc_id) OVER (ORDER BY doc_id) IS NULL THEN 1 ELSE 0 END AS new FROM (SELECT DISTINCT doc_id FROM labels)))"
@@ -271,13 +272,12 @@ def dup_near_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.members(rows.select(F.col("doc_id").alias("id")), links)
 
 
-@query(sql(MANIFEST_SQL, LINK_SQL, body="SELECT component AS group_id, count(*) AS n, min(id) AS first_id, max(id) AS last_id, bool_or(m.split = 'train') AND bool_or(m.split = 'test') AS leaks, string_agg(id::VARCHAR, '|' ORDER BY id) AS members FROM comp JOIN manifest m ON m.doc_id = id GROUP BY 1 HAVING count(*) > 1"))
+@query(sql(MANIFEST_SQL, LINK_SQL, body="SELECT component AS group_id, count(*) AS n, min(id) AS first_id, max(id) AS last_id, bool_or(m.split = 'train') AND bool_or(m.split = 'test') AS leaks FROM comp JOIN manifest m ON m.doc_id = id GROUP BY 1 HAVING count(*) > 1"))
 def group_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, links = _links(spark, sf_dir)
     found = G.components(links).join(rows.select(F.col("doc_id").alias("id"), "split"), "id")
-    members = F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), "|")
     has = lambda s: F.bool_or(F.col("split") == s)
-    return found.groupBy(F.col("component").alias("group_id")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), (has("train") & has("test")).alias("leaks"), members.alias("members"))
+    return found.groupBy(F.col("component").alias("group_id")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), (has("train") & has("test")).alias("leaks"))
 
 
 MERGE_SQL = "edge AS (SELECT DISTINCT 'g' || (a // 8) AS x, 'g' || (b // 8) AS y FROM link WHERE a % 3 <> 0), two AS (SELECT x, y FROM edge UNION SELECT y, x FROM edge), grp AS (SELECT DISTINCT 'g' || (doc_id // 8) AS g FROM manifest), far AS (SELECT g AS x, g AS y FROM grp UNION SELECT f.x, t.y FROM far f JOIN two t ON f.y = t.x)"
@@ -297,8 +297,7 @@ def group_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id AS group_id, string_agg(event_type, '||' ORDER BY first) AS reasons FROM (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY ALL) GROUP BY 1")
 def merge_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
-    return R.merge_reasons(rows, "user_id", "event_type", "event_id").withColumnRenamed("user_id", "group_id")
+    return R.merge_reasons(table(spark, sf_dir, "events"), "user_id", "event_type", "event_id").withColumnRenamed("user_id", "group_id")
 
 
 @query(sql(HASHES_SQL, PAIRS_SQL, body="SELECT left_id, right_id, left_id % 4 AS left_fold, right_id % 4 AS right_fold FROM pairs WHERE left_id % 4 <> right_id % 4"))

@@ -32,8 +32,8 @@ def scan_files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = IMAGE
 
 
 def file_candidates(files: DataFrame) -> DataFrame:
-    """(filename, paths): every place of each name, in order."""
-    return files.groupBy("filename").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    """(filename, n_paths, first_path): places of each name; ``files`` itself has every one."""
+    return files.groupBy("filename").agg(F.count(F.lit(1)).alias("n_paths"), F.min("path").alias("first_path"))
 
 
 def unique_files(files: DataFrame) -> DataFrame:

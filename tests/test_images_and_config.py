@@ -55,6 +55,6 @@ def test_ensemble():
 def test_resolve_paths(spark):
     rows = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "filename string")
     known = spark.createDataFrame([("a", "x/a"), ("b", "")], "filename string, relative_path string")
-    found = spark.createDataFrame([("b", ["y/b"]), ("c", ["y/c", "z/c"])], "filename string, paths array<string>")
+    found = spark.createDataFrame([("b", 1, "y/b"), ("c", 2, "y/c")], "filename string, n_paths long, first_path string")
     got = {r["filename"]: (r["path"], r["n_candidates"]) for r in manifest.resolve_paths(rows, known, found).collect()}
     assert got == {"a": ("x/a", 0), "b": ("y/b", 1), "c": (None, 2), "d": (None, 0)}
