@@ -138,9 +138,10 @@ def prefix_pairs(placed: DataFrame, sets: DataFrame, threshold: int = THRESHOLD)
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """(key, id, n, pivot): classes of every bucket that has two or more of them."""
+    """(key, id, n, pivot, n_pivot): classes of every bucket that has two or more of them; the
+    pivot is the smallest, with its size."""
     rows = classes.select(F.col("rep").alias("id"), "n", F.explode("bands").alias("key"))
-    shared = cut(rows.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("most")).filter("pivot < most").select("key", "pivot"))
+    shared = cut(rows.groupBy("key").agg(F.min("id").alias("pivot"), F.min_by("n", "id").alias("n_pivot"), F.max("id").alias("most")).filter("pivot < most").select("key", "pivot", "n_pivot"))
     return cut(rows.join(shared, "key"))
 
 
@@ -160,9 +161,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, width: int = WI
     ids = cut(member.select(F.col("id").alias("doc_id")).distinct())
     sets = cut(full_sets(docs.join(ids, "doc_id", "left_semi"), width))
 
-    size = classes.select(F.col("rep").alias("pivot"), F.col("n").alias("n_pivot"))
-    stars = member.filter("id <> pivot").select("pivot", "id", "n").distinct().join(size, "pivot").filter(fits(F.col("n"), F.col("n_pivot")))
-    stars = cut(stars.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
+    stars = cut(member.filter((F.col("id") != F.col("pivot")) & fits(F.col("n"), F.col("n_pivot"))).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
     links = confirmed(stars, sets, threshold)
     first = components(links)
 
