@@ -43,14 +43,16 @@ def per_class(counts: DataFrame, labels: int, *keys: str) -> DataFrame:
     every class, in one aggregation."""
     n, true, pred = F.col("n"), F.col("true_id"), F.col("pred_id")
     zero = F.lit(0).cast("long")
+    every = [F.struct(F.lit(i).alias("class_id"), zero.alias("_s"), zero.alias("_p"), zero.alias("_t")) for i in range(labels)]
     ends = F.array(
         F.struct(true.alias("class_id"), n.alias("_s"), zero.alias("_p"), F.when(true == pred, n).otherwise(0).alias("_t")),
         F.struct(pred.alias("class_id"), zero.alias("_s"), n.alias("_p"), zero.alias("_t")),
+        *(every if keys else []),
     )
     seen = counts.select(*keys, F.explode(ends).alias("x")).select(*keys, "x.*")
-    groups = counts.select(*keys).distinct() if keys else counts.sparkSession.range(1).select()
-    every = groups.withColumn("class_id", F.explode(F.array(*[F.lit(i) for i in range(labels)]))).select(*keys, "class_id", zero.alias("_s"), zero.alias("_p"), zero.alias("_t"))
-    sums = seen.unionByName(every).groupBy(*keys, "class_id").agg(F.sum("_s").alias("support"), F.sum("_p").alias("predicted"), F.sum("_t").alias("tp"))
+    if not keys:  # classes of an empty table too
+        seen = seen.unionByName(counts.sparkSession.range(1).select(F.explode(F.array(*every)).alias("x")).select("x.*"))
+    sums = seen.groupBy(*keys, "class_id").agg(F.sum("_s").alias("support"), F.sum("_p").alias("predicted"), F.sum("_t").alias("tp"))
     precision = F.col("tp") / F.greatest(F.col("predicted"), F.lit(1))
     recall = F.col("tp") / F.greatest(F.col("support"), F.lit(1))
     out = sums.withColumn("fp", F.col("predicted") - F.col("tp")).withColumn("fn", F.col("support") - F.col("tp")).withColumn("precision", precision).withColumn("recall", recall)
