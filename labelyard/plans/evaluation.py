@@ -356,9 +356,6 @@ def softmax_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.rounded(rows.select("event_id", *[F.get("p", F.lit(i)).alias(f"p{i}") for i in range(N)]))
 
 
-PRIOR_SQL = f"pr AS (SELECT list_transform({SHARES}, lambda x: x / list_sum({SHARES})) AS prior FROM pred)"
-
-
 @query(sql(PRED_SQL, f"g AS (SELECT {SHARES} AS c FROM pred)", f"a AS (SELECT event_id, list_transform(range(1, {N + 1}), lambda i: round(w[i] / 8.0 + 0.5 * ln(c[i] / list_sum(c)), 9)) AS z FROM pred, g)", body="SELECT event_id, (list_position(z, list_max(z)) - 1)::INT AS pred_id, round(list_max(z), 6) AS top FROM a"))
 def logit_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pred(spark, sf_dir)

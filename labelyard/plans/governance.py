@@ -16,7 +16,7 @@ from ..operators import validate as V
 from ..operators.metrics import METRIC_COLUMNS, metrics, rounded
 from ..operators.persist import cut
 from .evaluation import class_sql, metric_sql
-from .fixtures import DECISIONS_SQL, HASHES_SQL, MANIFEST_SQL, PRED2_SQL, PRED_SQL, decisions, hashes, manifest, pred, pred2, sql, table
+from .fixtures import DECISIONS_SQL, HASHES_SQL, MANIFEST_SQL, decisions, hashes, manifest, pred, sql, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}

@@ -23,7 +23,6 @@ def query(text: str | None = None):
     return keep
 
 
-ROUND = "::DOUBLE"
 PIXEL_SQL = "px AS (SELECT vec_id * 64 + i AS id, vec_id // 50 AS tile, vec_id AS row, i AS col, e[i + 1]::DOUBLE AS green, e[(i + 1) % 64 + 1]::DOUBLE AS nir FROM (SELECT vec_id, embedding AS e, unnest(range(64)) AS i FROM embeddings))"
 
 
