@@ -40,14 +40,16 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def bad_page(html: Column) -> Column:
     """1 for a page whose visible text is short, mostly symbols, shouted or a table of fragments;
     0 for others; null without a page."""
-    text = F.regexp_replace(html, HIDDEN, " ")
-    words = F.size(F.split(F.trim(text), r"\s+"))
-    length = F.greatest(F.length(text), F.lit(1))
-    count = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
-    symbols, bars, bangs = count("#*$%&"), count("|"), count("!")
-    upper = count("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-    bad = (words < 30) | (symbols > 0.03 * length) | (bars > 0.2 * words) | (bangs > 0.2 * words) | (upper > 0.3 * length)
-    return F.when(html.isNotNull(), bad.cast("int"))
+
+    def bad(text: Column) -> Column:
+        words = F.size(F.split(F.trim(text), r"\s+"))
+        length = F.greatest(F.length(text), F.lit(1))
+        count = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
+        symbols, bars, bangs, upper = count("#*$%&"), count("|"), count("!"), count("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+        return (words < 30) | (symbols > 0.03 * length) | (bars > 0.2 * words) | (bangs > 0.2 * words) | (upper > 0.3 * length)
+
+    # the text is bound to a name, else every condition would run the regular expression again
+    return F.transform(F.array(F.regexp_replace(html, HIDDEN, " ")), bad)[0].cast("int")
 
 
 def rule_columns(host: str, path: str) -> tuple[Column, Column]:
