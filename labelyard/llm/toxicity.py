@@ -4,9 +4,10 @@ Words (ASCII lower case, punctuation dropped) and their proper prefixes of 4 to
 into buckets with an embedding each. Filters of widths 1 to 3 slide over the words of the whole
 text and others of width 1 over the prefixes; each filter's largest value goes into a logistic
 output. Embeddings begin with the z-score of the bucket's toxic documents as one coordinate, which
-half of the filters look at first; everything is then trained by Adam. A part of the labelled
-rows is kept from training to choose a threshold for each language; scores are stretched so that
-every language's threshold lies at 0.7. The language comes from function words of the text itself.
+half of the filters look at first; everything is then trained by Adam on a bounded sample. All
+other labelled rows are scored to choose a threshold for each language at the labels' true ratio;
+scores are stretched so that every language's threshold lies at 0.7. The language comes from
+function words of the text itself.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ CHANCE = 3
 ACCEPT = 0.7
 #: Toxic calibration rows below which a language takes the common threshold.
 LEAST_TOXIC = 25
+#: Equal bins of raw scores between 0 and 1, in which labelled rows are counted.
+SCORE_BINS = 1 << 12
 
 #: Frequent function words of each language.
 FUNCTION_WORDS = {
@@ -42,6 +45,9 @@ FUNCTION_WORDS = {
     "es": "el la de que y los se del las un por con no una su para es al lo como",
 }
 
+#: Counted by language (0: none), label, whether fitted on, and score bin.
+COUNTS = (len(FUNCTION_WORDS) + 1, 2, 2, SCORE_BINS)
+
 SPACE = np.ones(256, bool)
 SPACE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
@@ -169,37 +175,69 @@ class Network:
                     p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)
 
 
-def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the gap at which F1 is largest; the largest such gap in a tie."""
+def best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> float:
+    """The middle of the gap at which F1 is largest; the largest such gap in a tie. ``weight``:
+    the rows that each entry stands for, one by default."""
     order = np.argsort(-p, kind="stable")
     p, y = p[order], y[order]
-    right = np.cumsum(y)
-    f1 = 2 * right / (np.arange(1, len(y) + 1) + y.sum())
+    weight = np.ones(len(p)) if weight is None else weight[order]
+    right = np.cumsum(y * weight)
+    f1 = 2 * right / (np.cumsum(weight) + right[-1])
     low = np.append(p[1:], 0.0)
     f1[p == low] = -1
     return float(np.clip(max(((f, a - b, (a + b) / 2) for f, a, b in zip(f1.round(4), p, low, strict=True)))[2], 0.02, 0.98))
 
 
+def bins(p: np.ndarray) -> np.ndarray:
+    return np.minimum((p * SCORE_BINS).astype(int), SCORE_BINS - 1)
+
+
 class Model:
-    """A trained network and its thresholds. Without both labels: a constant score."""
+    """A trained network and its thresholds. Without both labels: a constant score.
+
+    The rows in ``fit`` train the network. Thresholds come from the others, until ``calibrate``
+    takes them from counts of all rows.
+    """
 
     def __init__(self, texts: list[np.ndarray], y: np.ndarray):
         self.constant = None
+        self.fit = np.zeros(0, int)
         if not len(y) or y.min() == y.max():
             self.constant = float((y.sum() + 1) / (len(y) + 2))
             return
         for_thresholds = np.arange(len(y)) % 4 == 3
-        fit = np.flatnonzero(~for_thresholds)
+        self.fit = fit = np.flatnonzero(~for_thresholds)
         seen = [np.bincount(np.concatenate([np.unique(texts[i]) for i in fit if y[i] == k] or [np.zeros(0, int)]), minlength=BUCKETS + 1) for k in (0, 1)]
         expected = (seen[0] + seen[1]) * y[fit].mean()
         self.net = Network(np.clip(((seen[1] - expected) / np.sqrt(expected + 1) - CHANCE) / 4, -1, 3))
         self.net.train([texts[i] for i in fit], y[fit])
-        held = np.flatnonzero(for_thresholds) if y[for_thresholds].any() else fit
-        ids = np.concatenate([texts[i] for i in held])
-        first = np.concatenate(([0], np.cumsum([len(texts[i]) for i in held])))
-        p, lang = self.net.raw(ids, first, self.net.tables()), languages(ids, first, language_table())
-        common = best_threshold(p, y[held])
-        self.threshold = np.array([best_threshold(p[lang == k], y[held][lang == k]) if y[held][lang == k].sum() >= LEAST_TOXIC else common for k in range(len(FUNCTION_WORDS) + 1)])
+        ids = np.concatenate(texts)
+        first = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+        counts = np.zeros(COUNTS)
+        np.add.at(counts, (languages(ids, first, language_table()), y.astype(int), (~for_thresholds).astype(int), bins(self.net.raw(ids, first, self.net.tables()))), 1)
+        self.calibrate(counts)
+
+    def calibrate(self, counts: np.ndarray) -> None:
+        """Thresholds by language from the numbers of rows by (language, label, fitted, score bin).
+
+        The network knows the rows that it was fitted on, so only the others' scores count; they
+        are weighted so that each label has all its rows' share, however the fit was sampled.
+        """
+        counts = np.asarray(counts, float)
+        middle = np.tile((np.arange(SCORE_BINS) + 0.5) / SCORE_BINS, 2)
+        label = np.repeat([0.0, 1.0], SCORE_BINS)
+
+        def pick(c: np.ndarray) -> float:
+            """Of (label, fitted, bin) counts."""
+            fresh = c[:, 0].sum(axis=1)
+            # without fresh rows of a label, the fitted ones are all there is
+            used = c[:, 0] if fresh.all() else c.sum(axis=1)
+            weight = (used * (c.sum(axis=(1, 2)) / np.maximum(used.sum(axis=1), 1))[:, None]).ravel()
+            at = weight > 0
+            return best_threshold(middle[at], label[at], weight[at])
+
+        common = pick(counts.sum(axis=0))
+        self.threshold = np.array([pick(c) if c[1, 0].sum() >= LEAST_TOXIC and c[0, 0].any() else common for c in counts])
 
     def scorer(self):
         if self.constant is not None:
@@ -217,7 +255,7 @@ class Model:
 def learn(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1) -> Model:
     """A model from labelled rows outside the held-out fold, FIT_ROWS at most: those with the
     smallest hashes of their ids, half of them toxic if there are as many. Texts come to the
-    driver as bucket ids."""
+    driver as bucket ids. Thresholds are of all labelled rows outside the held-out fold."""
     known = labelled(labels, "toxic").filter(fold("doc_id", folds) != held_out)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     toxic = known.filter("y = 1").orderBy(*order).limit(FIT_ROWS // 2)
@@ -234,7 +272,31 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1)
     some = rows.mapInArrow(run, "doc_id long, ids binary, y int").toPandas()
     key = np.random.default_rng(3).permutation(len(some))
     some = some.sort_values(["doc_id", "ids"]).iloc[key]
-    return Model([np.frombuffer(b, "<u2").reshape(-1, 1 + len(PREFIXES)) for b in some["ids"]], some["y"].to_numpy(float))
+    model = Model([np.frombuffer(b, "<u2").reshape(-1, 1 + len(PREFIXES)) for b in some["ids"]], some["y"].to_numpy(float))
+    if model.constant is None:
+        model.calibrate(label_counts(docs.filter(fold("doc_id", folds) != held_out), known, model, some["doc_id"].to_numpy()[model.fit]))
+    return model
+
+
+def label_counts(docs: DataFrame, known: DataFrame, model: Model, fitted: np.ndarray) -> np.ndarray:
+    """The rows of ``docs`` with a label in ``known`` by (language, label, in fitted, score bin).
+    Rows are scored where they lie; only their ids, languages and bins meet the labels."""
+    net, fitted = model.net, np.unique(fitted)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, table = net.tables(), language_table()
+        for batch, texts in batches(it):
+            ids, first = buckets(texts)
+            again = np.isin(batch.column(0).to_numpy(zero_copy_only=False), fitted)
+            cols = (languages(ids, first, table), again, bins(net.raw(ids, first, tables)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c.astype("i4")) for c in cols]], names=["doc_id", "lang", "fitted", "bin"])
+
+    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang int, fitted int, bin int").join(known, "doc_id")
+    counts = np.zeros(COUNTS)
+    # a row for each cell of COUNTS at most
+    for lang, y, again, at, n in found.groupBy("lang", "y", "fitted", "bin").count().collect():
+        counts[lang, y, again, at] = n
+    return counts
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:

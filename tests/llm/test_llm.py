@@ -140,6 +140,34 @@ def test_network_learns():
     assert ((model.scorer()(texts[600:]) >= 0.7) == y[600:]).mean() > 0.95
 
 
+def test_thresholds_see_the_true_ratio(spark, monkeypatch):
+    """A capped sample is half toxic; thresholds are those of all labelled rows all the same."""
+    monkeypatch.setattr(toxicity, "FIT_ROWS", 160)
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(200)]
+    rows, toxic = [], []
+    for i in range(9000):
+        said = rng.choices(words, k=20)
+        toxic.append(int(i % 20 == 0))
+        # a word that is as frequent in clean texts overall, but half toxic in a sample of halves
+        if toxic[-1] or rng.random() < 0.06:
+            said[rng.randrange(20)] = "vile"
+        if toxic[-1] and rng.random() < 0.6:
+            said[rng.randrange(20)] = "nasty"
+        rows.append((i, " ".join(said)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels)
+    outside = [i for i in range(9000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    y = np.array([toxic[i] for i in outside])
+    ids, first = toxicity.buckets([rows[i][1].encode() for i in outside])
+    p = model.net.raw(ids, first, model.net.tables())
+    f1 = lambda t: 2 * y[p >= t].sum() / ((p >= t).sum() + y.sum())
+    assert f1(model.threshold[0]) > 0.97 * f1(toxicity.best_threshold(p, y))
+    counts = toxicity.label_counts(docs.filter(F.col("doc_id").isin(outside)), labels.select("doc_id", F.col("toxic").alias("y")), model, np.zeros(0, int))
+    assert counts.sum() == len(outside) and counts[:, 1].sum() == sum(toxic[i] for i in outside)
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     known = spark.read.parquet(f"{d}/labels.parquet")
