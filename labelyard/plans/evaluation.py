@@ -186,7 +186,7 @@ def scene_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weighted_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As many draws as rows, by weight; a sampling operator without SQL (hashed uniforms)."""
     rows = P.power_weights(pred(spark, sf_dir), "true_id", 1.0)
-    return P.weighted_sample(rows, "filename", "weight", 10_000).groupBy("true_id").agg(F.count(F.lit(1)).alias("draws"))
+    return P.weighted_sample(rows, "filename", "weight").groupBy("true_id").agg(F.count(F.lit(1)).alias("draws"))
 
 
 OTHER = f"(list_position(list_transform(probs, lambda x, i: CASE WHEN i = {MAJORITY + 1} THEN -1.0 ELSE x END), list_max(list_transform(probs, lambda x, i: CASE WHEN i = {MAJORITY + 1} THEN -1.0 ELSE x END))) - 1)::INT"

@@ -44,3 +44,10 @@ def test_matches_sql(name, spark, data, duck):
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_rows_only(name, spark, data):
     assert registry.queries()[name](spark, data).count() > 0
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_as_many_draws_as_rows(size, spark):
+    d = f"/root/testdata/{size}"
+    rows = spark.read.parquet(f"{d}/events.parquet").count()
+    assert sum(r["draws"] for r in registry.queries()["weighted_sample"](spark, d).collect()) == pytest.approx(rows, rel=0.05)
