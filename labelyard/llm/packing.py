@@ -35,6 +35,10 @@ SECOND_ROUND = 16384
 CACHE_WORDS = 500_000
 #: Words that NFC leaves alone and whose lower case doesn't depend on the library.
 LATIN = re.compile(r"[\x00-\xff]*").fullmatch
+#: White space for Python that isn't any for the tokenizer.
+SEPARATOR = re.compile(r"[\x1c-\x1f]").search
+#: How special tokens begin; they are matched before lower-casing.
+SPECIAL = "<|"
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -46,7 +50,8 @@ class WordEncoder:
     The tokenizer lower-cases, drops white space and splits letters and digits from other
     characters; none of its matches crosses white space. So a text's ids are its words' ids in
     order, a Latin-1 word may be lower-cased first, and full stops or commas behind a letter or
-    digit are a match of their own.
+    digit are a match of their own. Words that may hold a special token keep their case, and texts
+    with a separator that only Python takes for white space are encoded whole.
     """
 
     TAIL = re.compile(r"(.*[a-z0-9\xdf-\xf6\xf8-\xff])([.,;:!?]+)", re.S)
@@ -64,7 +69,7 @@ class WordEncoder:
         for w in words:
             core, tail = w, ""
             if LATIN(w):
-                core = w.lower()
+                core = w if SPECIAL in w else w.lower()
                 if m := self.TAIL.fullmatch(core):
                     core, tail = m.groups()
             parts.append((w, core, tail))
@@ -78,7 +83,8 @@ class WordEncoder:
             self.known[w] = cores[core] + cores[tail] if tail else cores[core]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.split() for t in texts]
+        whole = {i: self._whole(t) for i, t in enumerate(texts) if SEPARATOR(t)}
+        split = [[] if i in whole else t.split() for i, t in enumerate(texts)]
         known = self.known
         if len(known) > CACHE_WORDS:
             known.clear()
@@ -87,7 +93,10 @@ class WordEncoder:
         if new := list({w for words in split for w in words if w not in known}):
             self._learn(new)
         get = known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        return [whole[i] if i in whole else b"".join(map(get, words)) for i, words in enumerate(split)]
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:

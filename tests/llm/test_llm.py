@@ -70,6 +70,15 @@ def test_pack_covers_every_token(awkward):
         assert at <= 4096
 
 
+@pytest.mark.parametrize("text", ["a\x1cb", "\x1d", "one\x1e two.\x1f", "a <|endoftext|> b.", "<|EndOfText|>", "X<|STARTOFTEXT|>Y. <|EndOfText", "\x85a\xa0b\u2003c"])
+def test_words_give_the_ids_of_the_text(text):
+    from tokenizers import Tokenizer
+
+    path = public.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packing.WordEncoder(path)([text, "plain words", text])[2], "<u4").tolist() == plain
+
+
 def test_pack_is_tight(spark):
     rng = random.Random(1)
     sizes = [rng.randint(1, 4096) for _ in range(4000)]
