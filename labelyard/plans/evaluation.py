@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, vectors
 from ..operators import metrics as M
 from ..operators import postproc as P
+from ..operators.manifest import positions
+from ..operators.persist import cut
 from .fixtures import CLASS_SQL, LABELS, MAJORITY, PRED2_SQL, PRED_SQL, pred, pred2, sql, table
 
 N = len(LABELS)
@@ -121,10 +125,26 @@ def minority_census(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql(PRED_SQL, ENRICH_SQL, body=f"SELECT {ENRICH_COLUMNS} FROM e WHERE is_error ORDER BY round(pred_prob, 6) DESC, filename LIMIT 50"))
 def high_conf_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 50 errors with the largest confidence: a top-k report."""
+    """The 50 errors with the largest confidence; ``review_orders`` has all of them."""
     return _enriched(spark, sf_dir).filter("is_error").orderBy(F.desc("pred_prob"), "filename").limit(50)
 
 
+ORDERS_SQL = " UNION ALL ".join(
+    f"SELECT '{name}' AS report, row_number() OVER (ORDER BY {order}, filename) AS position, {ENRICH_COLUMNS} FROM e{where}"
+    for name, order, where in (("low_confidence", "round(pred_prob, 6)", ""), ("small_margin", "round(margin, 6)", ""), ("high_confidence_errors", "round(pred_prob, 6) DESC", " WHERE is_error"))
+)
+
+
+@query(sql(PRED_SQL, ENRICH_SQL, body=ORDERS_SQL))
+def review_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows by low confidence and by small margin and all errors by high confidence, each with
+    its place (from 1) in its report."""
+    rows = cut(_enriched(spark, sf_dir))
+    orders = [("low_confidence", rows, F.asc("pred_prob")), ("small_margin", rows, F.asc("margin")), ("high_confidence_errors", rows.filter("is_error"), F.desc("pred_prob"))]
+    parts = [positions(some, order, F.asc("filename"), first=1).select(F.lit(name).alias("report"), "position", *rows.columns) for name, some, order in orders]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query(sql(PRED_SQL, body=f"SELECT count(*) AS rows, count(*) FILTER (WHERE true_id <> pred_id) AS errors, count(*) FILTER (WHERE true_id <> {MAJORITY} AND pred_id = {MAJORITY}) AS minority_as_majority, count(*) FILTER (WHERE true_id = {MAJORITY} AND pred_id <> {MAJORITY}) AS majority_as_minority FROM pred"))
 def error_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, p = F.col("true_id"), F.col("pred_id")

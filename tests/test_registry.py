@@ -51,3 +51,13 @@ def test_as_many_draws_as_rows(size, spark):
     d = f"/root/testdata/{size}"
     rows = spark.read.parquet(f"{d}/events.parquet").count()
     assert sum(r["draws"] for r in registry.queries()["weighted_sample"](spark, d).collect()) == pytest.approx(rows, rel=0.05)
+
+
+def test_every_error_has_its_place(spark, data):
+    rows = registry.queries()["review_orders"](spark, data).collect()
+    summary = registry.queries()["error_summary"](spark, data).first()
+    at = {}
+    for r in rows:
+        at.setdefault(r["report"], []).append(r["position"])
+    assert summary["errors"] > 50
+    assert {k: sorted(v) for k, v in at.items()} == {k: list(range(1, n + 1)) for k, n in (("low_confidence", summary["rows"]), ("small_margin", summary["rows"]), ("high_confidence_errors", summary["errors"]))}
