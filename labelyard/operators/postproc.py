@@ -162,6 +162,11 @@ def prior_random(rows: DataFrame, labels: int, seed: int = 42) -> DataFrame:
     return rows.drop("pred_id").join(F.broadcast(sums), "fold").withColumn("pred_id", F.size(F.filter("below", lambda x: x <= drawn)).cast("int")).drop("below")
 
 
+def uniform_random(rows: DataFrame, labels: int, seed: int = 42) -> DataFrame:
+    """Adds ``pred_id`` drawn from all labels alike."""
+    return rows.withColumn("pred_id", F.floor(uniform("filename", seed=seed) * labels).cast("int"))
+
+
 def weighted_sample(rows: DataFrame, key: str, weight: str, draws: int | None = None, seed: int = 42) -> DataFrame:
     """``draws`` rows (None: as many as there are) in expectation, with replacement: each row is
     drawn as often as the whole numbers that its expected count, shifted by a hashed uniform,

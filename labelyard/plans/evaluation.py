@@ -182,8 +182,12 @@ def baseline_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def prior_random(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics of draws from the other folds' class shares; no SQL for the hashed draw."""
-    return M.rounded(M.metrics(P.prior_random(pred(spark, sf_dir), N), N, "zerofill", "fold"))
+    """Metrics of draws from the other folds' class shares and of draws from all labels alike; no
+    SQL for the hashed draw."""
+    rows = pred(spark, sf_dir)
+    drawn = [("train_prior_random", P.prior_random(rows, N)), ("uniform_random", P.uniform_random(rows, N))]
+    both = reduce(DataFrame.unionByName, [d.select(F.lit(name).alias("baseline"), "fold", "true_id", "pred_id") for name, d in drawn])
+    return M.rounded(M.metrics(both, N, "zerofill", "baseline", "fold"))
 
 
 @query(sql(PRED_SQL, body="SELECT max(n)::BIGINT AS majority_rows, sum(n)::BIGINT AS rows, round(max(n) / sum(n), 6) AS accuracy FROM (SELECT true_id, count(*) AS n FROM pred GROUP BY 1)"))

@@ -61,3 +61,11 @@ def test_every_error_has_its_place(spark, data):
         at.setdefault(r["report"], []).append(r["position"])
     assert summary["errors"] > 50
     assert {k: sorted(v) for k, v in at.items()} == {k: list(range(1, n + 1)) for k, n in (("low_confidence", summary["rows"]), ("small_margin", summary["rows"]), ("high_confidence_errors", summary["errors"]))}
+
+
+def test_both_random_baselines(spark, data):
+    rows = registry.queries()["prior_random"](spark, data).collect()
+    folds = {b: sorted(r["fold"] for r in rows if r["baseline"] == b) for b in ("train_prior_random", "uniform_random")}
+    assert folds["train_prior_random"] == folds["uniform_random"] and 2 * len(folds["uniform_random"]) == len(rows) > 0
+    n = {b: sum(r["rows"] for r in rows if r["baseline"] == b) for b in folds}
+    assert n["train_prior_random"] == n["uniform_random"] == spark.read.parquet(f"{data}/events.parquet").count()
