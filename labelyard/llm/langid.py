@@ -26,7 +26,7 @@ FIT_DOCUMENTS = 1_500
 FIT_TASKS = 8
 BUCKETS = 1 << 15
 SMOOTH = 0.5
-STEPS, MOST_LANGUAGES = 8, 4
+STEPS = 8
 #: A further language must raise the log-likelihood by this times log(words).
 PENALTY = 2.0
 UNKNOWN = "und"
@@ -111,7 +111,7 @@ def infer(texts: list[bytes], table: np.ndarray) -> tuple[np.ndarray, np.ndarray
     value, final, final_part, final_size = single.max(axis=1), top.copy(), np.take_along_axis(part, top[:, None], 1)[:, 0], np.ones(len(some), int)
     # no set can beat the full one's likelihood: most documents stop here with one language
     open_ = np.flatnonzero(full - price > value)
-    for size in range(2, min(k, MOST_LANGUAGES) + 1):
+    for size in range(2, k + 1):
         if not len(open_):
             break
         allowed = np.zeros((len(open_), k))

@@ -245,6 +245,15 @@ def test_mixture_proportions():
     assert score[0] == pytest.approx(0.7, abs=0.02)
 
 
+def test_six_languages_in_one_text():
+    words = [c * 4 for c in (b"a", b"b", b"c", b"d", b"e", b"f")]
+    table = np.log(np.full((langid.BUCKETS, 6), 1e-6))
+    for k, w in enumerate(words):
+        table[langid.trigrams(np.frombuffer(w, np.uint8)), k] = np.log(0.5)
+    best, score, size = langid.infer([b" ".join(w for k, w in enumerate(words) for _ in range(50 + 10 * k))], table.astype(np.float32))
+    assert (best[0], size[0]) == (5, 6) and score[0] == pytest.approx(100 / 450, abs=0.02)
+
+
 # 5 chat
 
 
