@@ -4,99 +4,163 @@ Two steps. ``tokenized_pieces`` encodes whole documents and cuts only those long
 sequence. ``pack`` places pieces by bounded-space online best fit: each task keeps a fixed number
 of open bins, indexed by a bitset whose bit *f* says that a bin with *f* free tokens is open. The
 best bin for a piece is the lowest set bit at or above its length; when every bin is taken, the
-fullest (the lowest set bit) closes. What is still open and not nearly full at a task's end is
-packed once more, largest first, in tasks of a fixed size, so the loss doesn't grow with the
-number of tasks.
+fullest (the lowest set bit) closes. What is still open and not nearly full at a task's end goes
+through a second round of the same kind, largest first, in tasks of a fixed number of pieces and of
+open bins, so the loss doesn't grow with the number of tasks.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, cut
+from .common import cut
 
 CAPACITY = 4096
 END_ID = 1
 OPEN_BINS = 1024
 #: A bin with no more free tokens than this at a task's end stays as it is.
 CLOSE_ENOUGH = 32
-#: Pieces that one task of the second round takes.
-SECOND_ROUND = 16384
+#: Pieces that one task of the second round takes, and its open bins.
+SECOND_ROUND, SECOND_BINS = 16_384, 2048
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 500_000
-#: Words that NFC leaves alone and whose lower case doesn't depend on the library.
-LATIN = re.compile(r"[\x00-\xff]*").fullmatch
-#: White space for Python that isn't any for the tokenizer.
-SEPARATOR = re.compile(r"[\x1c-\x1f]").search
-#: How special tokens begin; they are matched before lower-casing.
+CACHE_WORDS = 1_000_000
+#: Bytes of text that a worker encodes at once.
+BLOCK_BYTES = 1 << 23
+#: How special tokens begin.
 SPECIAL = "<|"
+#: Stands between words that are encoded together; words that hold it are encoded alone.
+MARK = "\x01"
+#: Punctuation that may follow a word.
+TAIL = ".,;:!?)]}\"#$%&*"
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
 class WordEncoder:
-    """Ids of texts as little-endian uint32 bytes; every distinct word is encoded once.
+    """Ids of texts; every distinct word is encoded once and remembered.
 
-    The tokenizer lower-cases, drops white space and splits letters and digits from other
-    characters; none of its matches crosses white space. So a text's ids are its words' ids in
-    order, a Latin-1 word may be lower-cased first, and full stops or commas behind a letter or
-    digit are a match of their own. Words that may hold a special token keep their case, and texts
-    with a separator that only Python takes for white space are encoded whole.
-    """
+    The tokenizer drops white space, and none of its matches crosses any, so a text's ids are the
+    ids of its parts in order, wherever ASCII white space parts it. It lower-cases, so ASCII
+    letters may be lower-cased first, but not where a special token may stand, as these are matched
+    before. Punctuation without an apostrophe behind a Latin-1
+    letter or digit is a match of its own.
 
-    TAIL = re.compile(r"(.*[a-z0-9\xdf-\xf6\xf8-\xff])([.,;:!?]+)", re.S)
+    ``at`` has each word's index in ``start`` and ``size`` (its span in ``ids``) and ``used`` (the
+    last block that had it). Beyond CACHE_WORDS the half that was used longest ago goes.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker on each core
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        (self.mark,) = self.model.encode(MARK, add_special_tokens=False).ids
+        self.at: dict[str, int] = {}
+        self.start, self.size, self.used = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.ids, self.block = np.zeros(0, "<u4"), 0
+
+    def _ids_of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one behind the other, and where each word's end."""
+        size = self.size[places]
+        end = np.cumsum(size, dtype=np.int64)
+        return self.ids[np.repeat(self.start[places] - (end - size), size) + np.arange(end[-1] if len(end) else 0)], end
+
+    def _add(self, words: list[str], ids: np.ndarray, end: np.ndarray) -> None:
+        start = np.concatenate(([0], end[:-1]))
+        self.start = np.concatenate((self.start, len(self.ids) + start))
+        self.size = np.concatenate((self.size, (end - start).astype(np.int32)))
+        self.used = np.concatenate((self.used, np.zeros(len(words), np.int32)))
+        self.ids = np.concatenate((self.ids, ids))
+        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words)), strict=True))
 
     def _learn(self, words: list[str]) -> None:
-        parts = []
+        """Adds new words. Many are encoded as one text, with a mark between them."""
+        whole, split, alone = [], [], []
         for w in words:
-            core, tail = w, ""
-            if LATIN(w):
-                core = w if SPECIAL in w else w.lower()
-                if m := self.TAIL.fullmatch(core):
-                    core, tail = m.groups()
-            parts.append((w, core, tail))
-        cores = self.cores
-        new = list({x for _, core, tail in parts for x in (core, tail) if x and x not in cores})
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for x, e in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                cores[x] = np.array(e.ids, "<u4").tobytes()
-        for w, core, tail in parts:
-            self.known[w] = cores[core] + cores[tail] if tail else cores[core]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        whole = {i: self._whole(t) for i, t in enumerate(texts) if SEPARATOR(t)}
-        split = [[] if i in whole else t.split() for i, t in enumerate(texts)]
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        if len(self.cores) > CACHE_WORDS:
-            self.cores.clear()
-        if new := list({w for words in split for w in words if w not in known}):
+            if SPECIAL in w or MARK in w:
+                alone.append(w)
+                continue
+            core = w.rstrip(TAIL)
+            # beyond Latin-1, NFC or lower case may put a mark behind a letter
+            if len(core) < len(w) and core[-1:].isalnum() and core[-1] < "\u0100":
+                split.append((w, core, w[len(core) :]))
+            else:
+                whole.append(w)
+        parts = [w for w in dict.fromkeys([*whole, *(x for _, *own in split for x in own)]) if w not in self.at]
+        ids, end = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        for i in range(0, len(parts), 4096):
+            some = parts[i : i + 4096]
+            got = np.array(self.model.encode(f" {MARK} ".join(some), add_special_tokens=False).ids, "<u4")
+            marks = np.append(np.flatnonzero(got == self.mark), len(got))
+            if len(marks) != len(some):
+                raise ValueError("the mark isn't a match of its own")
+            end.append(marks - np.arange(len(some)) + sum(map(len, ids)))
+            ids.append(got[got != self.mark])
+        for w in alone:
+            ids.append(np.array(self.model.encode(w, add_special_tokens=False).ids, "<u4"))
+            end.append(np.array([sum(map(len, ids))]))
+        self._add([*parts, *alone], np.concatenate(ids), np.concatenate(end))
+        if split := [x for x in split if x[0] not in self.at]:
+            ids, end = self._ids_of(np.array([self.at[x] for _, *own in split for x in own]))
+            self._add([w for w, *_ in split], ids, end[1::2])
+
+    def _forget(self) -> None:
+        keep = np.sort(np.argsort(-self.used, kind="stable")[: CACHE_WORDS // 2])
+        words = list(self.at)
+        ids, end = self._ids_of(keep)
+        used = self.used[keep]
+        self.at, self.start, self.size, self.used, self.ids = {}, self.start[:0], self.size[:0], self.used[:0], self.ids[:0]
+        self._add([words[i] for i in keep.tolist()], ids, end)
+        self.used = used
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a string array's values (null: empty), and where each value's ids end."""
+        if len(self.at) > CACHE_WORDS:
+            self._forget()
+        self.block += 1
+        texts = pc.fill_null(texts, "")
+        split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, SPECIAL), texts, pc.ascii_lower(texts)))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if new := [w for w in words if w not in self.at]:
             self._learn(new)
-        get = known.__getitem__
-        return [whole[i] if i in whole else b"".join(map(get, words)) for i, words in enumerate(split)]
+        places = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        self.used[places] = self.block
+        ids, end = self._ids_of(places[coded.indices.to_numpy()])
+        last = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        return ids, np.concatenate(([0], end))[last]
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """One encoder for each worker process."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+def blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to BLOCK_BYTES, as a block's distinct words are looked up once."""
+    held: list[pa.RecordBatch] = []
+    for batch in it:
+        if held and sum(b.nbytes for b in held) + batch.nbytes > BLOCK_BYTES:
+            yield pa.concat_batches(held)
+            held = []
+        held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
@@ -105,26 +169,31 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
     A null text is an empty one and gives the single token ``end_id``. Repeated rows give repeated
     pieces. ``keep_ids`` adds ``ids`` (array<int>), for writing sequences out.
     """
-    end = np.array([end_id], "<u4").tobytes()
+    last = np.array([end_id], "<u4")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(tokenizer)
-        for batch, texts in batches(it):
+        encode = encoder(tokenizer)
+        for batch in blocks(it):
+            ids, ends = encode(batch.column(1))
             rows: list[tuple] = []
-            ids: list = []
-            for doc_id, body in zip(batch.column(0).to_pylist(), encode([t.decode() for t in texts]), strict=True):
-                body += end
-                for piece, at in enumerate(range(0, len(body), 4 * capacity)):
-                    part = body[at : at + 4 * capacity]
-                    rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+            parts: list = []
+            begin = 0
+            for doc_id, end in zip(batch.column(0).to_pylist(), ends.tolist(), strict=True):
+                total = end - begin + 1
+                for piece, at in enumerate(range(0, total, capacity)):
+                    length = min(capacity, total - at)
+                    part = ids[begin + at : min(begin + at + length, end)]
+                    crc = zlib.crc32(part)
+                    rows.append((doc_id, piece, at, length, zlib.crc32(last, crc) if len(part) < length else crc))
                     if keep_ids:
-                        ids.append(np.frombuffer(part, "<u4").astype("i4"))
+                        parts.append(np.concatenate((part, last))[:length].astype("i4"))
+                begin = end
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             out = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             if keep_ids:
-                out.append(pa.array(ids, pa.list_(pa.int32())))
+                out.append(pa.array(parts, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(out, names=names)
 
@@ -223,7 +292,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
     left = placed.filter("sequence_id is null")
     parts = max(1, -(-left.count() // SECOND_ROUND))
     order = [F.desc("length"), "doc_id", "piece", "start"]
-    again = left.select(*names).repartition(parts).sortWithinPartitions(*order).mapInArrow(_packer(capacity, SECOND_ROUND, True, 1 << 62), PACKED)
+    again = left.select(*names).repartition(parts).sortWithinPartitions(*order).mapInArrow(_packer(capacity, SECOND_BINS, True, 1 << 62), PACKED)
     return placed.filter("sequence_id is not null").unionByName(again)
 
 

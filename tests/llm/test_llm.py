@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,13 +71,41 @@ def test_pack_covers_every_token(awkward):
         assert at <= 4096
 
 
-@pytest.mark.parametrize("text", ["a\x1cb", "\x1d", "one\x1e two.\x1f", "a <|endoftext|> b.", "<|EndOfText|>", "X<|STARTOFTEXT|>Y. <|EndOfText", "\x85a\xa0b\u2003c"])
+def encoded(encode, texts):
+    ids, end = encode(pa.array(texts, pa.string()))
+    return [part.tolist() for part in np.split(ids, end)[:-1]]
+
+
+@pytest.mark.parametrize("text", ["a\x1cb", "\x1d", "one\x1e two.\x1f", "a <|endoftext|> b.", "<|EndOfText|>", "X<|STARTOFTEXT|>Y. <|EndOfText", "\x85a\xa0b\u2003c", "\x01", "a\x01. b", "İ. İ?", "क़. न", None, "", "a" * 5000])
 def test_words_give_the_ids_of_the_text(text):
     from tokenizers import Tokenizer
 
     path = public.path("word_bpe_49k.json")
-    plain = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(packing.WordEncoder(path)([text, "plain words", text])[2], "<u4").tolist() == plain
+    plain = Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids
+    assert encoded(packing.WordEncoder(path), [text, "plain words", None, text])[::3] == [plain, plain]
+
+
+def test_words_of_random_strings(monkeypatch):
+    """Against the library's plain call, with a cache that is too small."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHE_WORDS", 300)
+    path = public.path("word_bpe_49k.json")
+    model, encode, rng = Tokenizer.from_file(path), packing.WordEncoder(path), random.Random(12)
+    pool = [*"abABé19.,'!?&<|>\x1c\x1d\x1e\x1f\x01\x00\x85\xa0  \t\n\x0b\r²×ÀΣσ日🎉\u0301\u0338=İıſK\u200d\ufeff", "<|endoftext|>", "<|EndOfText|>", "'s", "'LL", "Word. "]
+    for _ in range(20):
+        texts = ["".join(rng.choices(pool, k=rng.randrange(14))) for _ in range(200)]
+        assert encoded(encode, texts) == [model.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(encode.at) < 3000
+
+
+def test_the_fullest_bin_closes_first():
+    space = packing.BestFit(10, 2)
+    assert space.place(7, "a") == space.place(6, "b") == []
+    assert space.place(8, "c") == [["a"]]  # no bin has 8 free; of those with 3 and 4 free the fuller closes
+    assert space.place(2, "d") == [["c", "d"]]  # the best fit is exactly 2
+    assert space.place(4, "e") == [["b", "e"]] and space.count == 0 and space.bits == 0
+    assert space.place(10, "f") == [["f"]]
 
 
 def test_pack_is_tight(spark):
