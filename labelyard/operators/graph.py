@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .hot import join_split, key_counts
 from .manifest import positions
-from .persist import cut
+from .persist import cut, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,27 +15,28 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hooks every id to its smallest neighbour, follows hooks to their roots by doubling
     steps, and contracts the edges to roots. A chain takes one round and as many doublings as its
-    length has bits, a star two rounds at most.
+    length has bits, a star two rounds at most. A root with many ids is split in joins.
     """
-    edges = cut(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges = written(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     found = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("a").alias("b"), F.col("b").alias("a")))
-        hook = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("up")))
+        hook = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("up")))
         while True:
             above = hook.select(F.col("id").alias("up"), F.col("up").alias("top"))
-            step = cut(hook.join(above, "up").select("id", "up", F.col("top")))
+            step = written(join_split(hook, above, "up", by="id").select("id", "up", "top"))
             hook = step.select("id", F.col("top").alias("up"))
             if step.filter("up <> top").isEmpty():
                 break
         one = hook.select(F.col("id").alias("a"), F.col("up").alias("ua"))
         two = hook.select(F.col("id").alias("b"), F.col("up").alias("ub"))
-        edges = cut(edges.join(two, "b").join(one, "a").filter("ua <> ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct())
+        ends = join_split(join_split(edges, two, "b", by="a"), one, "a", by="b", counts=key_counts(edges, "a"))
+        edges = written(ends.filter("ua <> ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct())
         if found is None:
             found = hook.select("id", F.col("up").alias("component"))
         else:
             above = hook.select(F.col("id").alias("component"), F.col("up").alias("top"))
-            found = cut(found.join(above, "component", "left").select("id", F.coalesce("top", "component").alias("component")))
+            found = written(join_split(found, above, "component", by="id", how="left").select("id", F.coalesce("top", "component").alias("component")))
     return found if found is not None else edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
 
 
@@ -48,4 +50,4 @@ def numbered(found: DataFrame, prefix: str, first: int = 0) -> DataFrame:
     prefix and four digits."""
     sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component")
     order = cut(positions(sizes, "component", name="i", first=first))
-    return found.join(order, "component").select("id", "component", F.format_string(prefix + "%04d", F.col("i")).alias("group_id"))
+    return join_split(found, order, "component", by="id").select("id", "component", F.format_string(prefix + "%04d", F.col("i")).alias("group_id"))

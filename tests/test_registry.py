@@ -1,13 +1,18 @@
 """Every registered query with SQL against DuckDB on the smallest tables."""
 
+import ast
 import datetime
 import decimal
+import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
 
 from labelyard.plans import registry
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -69,3 +74,10 @@ def test_both_random_baselines(spark, data):
     assert folds["train_prior_random"] == folds["uniform_random"] and 2 * len(folds["uniform_random"]) == len(rows) > 0
     n = {b: sum(r["rows"] for r in rows if r["baseline"] == b) for b in folds}
     assert n["train_prior_random"] == n["uniform_random"] == spark.read.parquet(f"{data}/events.parquet").count()
+
+
+@pytest.mark.parametrize("blocked", ["regex", "labelyard.llm", "corpus_pipeline"])
+def test_core_queries_without_what_the_others_need(blocked):
+    code = f"import sys; sys.modules[{blocked!r}] = None; import __spark_entry__ as e; print(sorted(e.queries())); e.oracle_sql()"
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, check=True)
+    assert set(registry.queries()) <= set(ast.literal_eval(done.stdout))
