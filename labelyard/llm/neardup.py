@@ -11,9 +11,12 @@ found in two rounds and confirmed on full sets:
 1. in each bucket every class is compared with the bucket's smallest class;
 2. in buckets that still hold several components, all classes are put to an exact prefix join:
    with shingles in order of frequency among these classes, two sets of that similarity share one
-   near the front of both. Pairs within a component add nothing and are left out; pairs whose
-   positions rule the similarity out are dropped. So neither a large group of copies nor a
-   passage that many documents share makes a quadratic number of pairs, and no link is lost.
+   near the front of both. Only rows of different components meet at a shingle, and pairs whose
+   positions rule the similarity out are dropped, so no link is lost and the many pairs within a
+   group of copies are never made. A passage that many documents share is far back in their
+   orders, unless it makes up about the threshold's share of both.
+
+Keys that many rows have (a bucket, a shingle, a document with many partners, a digest) are split.
 """
 
 from __future__ import annotations
@@ -28,12 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
+from ..operators.hot import join_split, key_counts
 from .common import GOLD, Words, batches, cut, mix
 
 WIDTH = 5
 THRESHOLD = 75
 BANDS, ROWS = 40, 5
 UNIVERSE = 1 << 20
+#: Rows of one token, on either side, that meet in one group of the prefix join.
+PART = 1000
 SEED = 7
 
 SKETCH = "doc_id long, n_shingles long, digest binary, bands array<long>"
@@ -109,40 +115,84 @@ def full_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """The (a, b) of ``pairs`` with 100 * |A and B| >= threshold * |A or B|, on full sets."""
+    """The (a, b) of ``pairs`` with 100 * |A and B| >= threshold * |A or B|, on full sets. A
+    document with many partners is split, so that their sets don't meet in one task."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     total = F.size("sa") + F.size("sb") - both
-    return cut(pairs.join(right, "b").join(left, "a").filter(100 * both >= threshold * total).select("a", "b").distinct())
+    with_sets = join_split(join_split(pairs, right, "b", by="a"), left, "a", by="b", counts=key_counts(pairs, "a"))
+    return cut(with_sets.filter(100 * both >= threshold * total).select("a", "b").distinct())
 
 
-def prefix_pairs(placed: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(a, b), a < b, of different components that may reach the threshold. placed: (doc_id,
-    component). A token's place i in a set of n bounds the overlap from it on by n - i, and the
-    first common token of a pair must leave room for the overlap that the threshold needs."""
+def prefixes(placed: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(doc_id, component, n, token, i, short) of the tokens that come first in each set, in the
+    order of how many sets have them. placed: (doc_id, component).
+
+    All common tokens of two sets come at or behind their first one, whose place i in a set of n
+    bounds the overlap by n - i. Two similar sets overlap by the share t of the longer and by
+    2t / (1 + t) of the shorter: tokens with room for the first are kept, and ``short`` says of
+    those with room for the second, too. A token of one set only takes a place but has no row.
+    """
     own = sets.join(placed, "doc_id").select("doc_id", "component", F.size("shingles").alias("n"), "shingles")
     tokens = own.select("doc_id", F.explode("shingles").alias("token"))
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
-    shared = tokens.join(often, "token").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("order"))
-    # tokens of one set only come first: they take places but make no pairs
+    shared = join_split(tokens, often, "token", by="doc_id", counts=often.withColumnRenamed("often", "n")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("order"))
     rows = own.select("doc_id", "component", "n").join(shared, "doc_id")
     rows = rows.select("doc_id", "component", "n", (F.col("n") - F.size("order")).alias("alone"), F.posexplode("order").alias("at", "t"))
     rows = rows.select("doc_id", "component", "n", F.col("t.token").alias("token"), (F.col("alone") + F.col("at")).alias("i"))
-    rows = cut(rows.filter(100 * (F.col("n") - F.col("i")) >= threshold * F.col("n")))
-    x, y = (rows.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "component", "n", "i")]) for k in "ab")
-    room = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
-    may = (100 + threshold) * room >= threshold * (F.col("n_a") + F.col("n_b"))
-    pairs = x.join(y, "token").filter((F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b")) & may)
-    return cut(pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct())
+    room = F.col("n") - F.col("i")
+    return rows.filter(100 * room >= threshold * F.col("n")).withColumn("short", (100 + threshold) * room >= 2 * threshold * F.col("n"))
+
+
+def meetings(rows: DataFrame) -> DataFrame:
+    """Rows of ``prefixes`` that have a token in common, in columns of x (short) and of y; of
+    different components, or of the same in fewer cases.
+
+    Tokens of one component are left out first. Of a token's components the largest meets only the
+    others: an x outside it meets every y, an x inside it every y outside. So there are at most
+    twice as many rows as pairs of different components. A token with many rows is dealt in parts
+    of PART rows of x by PART rows of y.
+    """
+    of = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("m"), F.count_if("short").alias("s"))
+    most = F.struct("m", "component")
+    tokens = of.groupBy("token").agg(F.max_by("component", most).alias("large"), F.max_by("m", most).alias("m_in"), F.max_by("s", most).alias("s_in"), F.sum("m").alias("m"), F.sum("s").alias("s"))
+    parts = lambda n: F.ceil(n / PART).cast("int")
+    out, in_ = F.struct(F.lit(False).alias("large"), parts(F.col("s") - F.col("s_in")).alias("x"), parts(F.col("m")).alias("y")), F.struct(F.lit(True).alias("large"), parts(F.col("s_in")).alias("x"), parts(F.col("m") - F.col("m_in")).alias("y"))
+    tokens = cut(tokens.filter("m > m_in and s > 0").select("token", F.col("large").alias("largest"), out.alias("out"), in_.alias("in_")))
+    rows = cut(join_split(rows, tokens, "token", by="doc_id"))
+    inside = F.col("component") == F.col("largest")
+    place = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    names = ("doc_id", "component", "n", "i")
+
+    def side(some: DataFrame, k: str, other: str) -> DataFrame:
+        """Each row's own part, repeated for all parts of the other side."""
+        some = some.filter(F.col("kind.x") * F.col("kind.y") > 0)
+        return some.select("token", F.col("kind.large").alias("large"), place(F.col(f"kind.{k}")).alias(k), every(F.col(f"kind.{other}")).alias(other), *[F.col(c).alias(f"{c}_{k}") for c in names])
+
+    x = side(rows.filter("short").withColumn("kind", F.when(inside, F.col("in_")).otherwise(F.col("out"))), "x", "y")
+    y = side(rows.withColumn("kind", F.explode(F.when(inside, F.array("out")).otherwise(F.array("out", "in_")))), "y", "x")
+    return x.join(y, ["token", "large", "x", "y"])
+
+
+def prefix_pairs(placed: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(a, b), a < b, of different components that may reach the threshold. placed: (doc_id,
+    component). The first common token of a pair must leave room for the overlap that is needed."""
+    met = meetings(cut(prefixes(placed, sets, threshold)))
+    room = F.least(F.col("n_x") - F.col("i_x"), F.col("n_y") - F.col("i_y"))
+    may = (100 + threshold) * room >= threshold * (F.col("n_x") + F.col("n_y"))
+    longer = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("doc_id_x") < F.col("doc_id_y")))
+    pairs = met.filter(longer & (F.col("component_x") != F.col("component_y")) & may)
+    return cut(pairs.select(F.least("doc_id_x", "doc_id_y").alias("a"), F.greatest("doc_id_x", "doc_id_y").alias("b")).distinct())
 
 
 def candidates(classes: DataFrame) -> DataFrame:
     """(key, id, n, pivot, n_pivot): classes of every bucket that has two or more of them; the
     pivot is the smallest, with its size."""
     rows = classes.select(F.col("rep").alias("id"), "n", F.explode("bands").alias("key"))
-    shared = cut(rows.groupBy("key").agg(F.min("id").alias("pivot"), F.min_by("n", "id").alias("n_pivot"), F.max("id").alias("most")).filter("pivot < most").select("key", "pivot", "n_pivot"))
-    return cut(rows.join(shared, "key"))
+    shared = cut(rows.groupBy("key").agg(F.min("id").alias("pivot"), F.min_by("n", "id").alias("n_pivot"), F.count(F.lit(1)).alias("held")).filter("held > 1"))
+    return cut(join_split(rows, shared.select("key", "pivot", "n_pivot"), "key", by="id", counts=shared.select("key", F.col("held").alias("n"))))
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -172,7 +222,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, width: int = WI
 
     found = components(links)
     group = cut(classes.join(found, classes.rep == found.id, "left").select("digest", F.coalesce("component", "rep").alias("component_id")))
-    out = sketch.select("doc_id", "n_shingles", "digest").join(group, "digest", "left")
+    out = join_split(sketch.select("doc_id", "n_shingles", "digest"), group, "digest", by="doc_id", how="left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
