@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.hot import join_split
 from .common import batches, cut
 
 WIDTH = 192
@@ -128,17 +129,23 @@ def parse(page: str) -> list[dict]:
     return [{"pos": i, **x} for i, x in enumerate(reader.items)]
 
 
+def page(text: str, digest: str, caption: str) -> str:
+    """The whole text as paragraphs, one a line, with a figure between the two halves of them."""
+    parts = [f"<p>{markup.escape(line)}</p>" for line in text.split("\n")]
+    figure = f'<figure><img src="{SCHEME}{digest}"><figcaption>{caption}</figcaption></figure>'
+    return "<article>" + "".join([*parts[: len(parts) // 2], figure, *parts[len(parts) // 2 :]]) + "</article>"
+
+
 def store(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, html, digest, media): each text (null: empty) as a stored image, and a
-    page that refers to it by digest between two texts."""
+    page of the text that refers to it by digest."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in batches(it):
             images = [png(pad(t)) for t in texts]
             digest = [hashlib.sha256(m).hexdigest() for m in images]
-            heads = [markup.escape(" ".join(t[:80].decode(errors="ignore").split())) for t in texts]
-            pages = [f'<article><h1>{h}</h1><figure><img src="{SCHEME}{d}"><figcaption>{len(t)} bytes</figcaption></figure><p>end</p></article>' for h, d, t in zip(heads, digest, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(pages), pa.array(digest), pa.array(images, pa.binary())], names=["doc_id", "n_bytes", "html", "digest", "media"])
+            pages = [page(t.decode(), d, f"{len(t)} bytes") for d, t in zip(digest, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(pages, pa.string()), pa.array(digest, pa.string()), pa.array(images, pa.binary())], names=["doc_id", "n_bytes", "html", "digest", "media"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, html string, digest string, media binary")
 
@@ -173,15 +180,21 @@ def described(media: DataFrame) -> DataFrame:
     return media.select("digest", "media").mapInArrow(run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").dropDuplicates(["digest"])
 
 
-def resolved(pages: DataFrame, media: DataFrame) -> DataFrame:
-    """Each item of ``pages``' items with the columns of ``media`` (digest, ...), joined by
-    digest. Texts and references without stored media keep nulls there; pos and caption stay."""
-    items = pages.select(*[c for c in pages.columns if c != "items"], F.explode("items").alias("x")).select(*[c for c in pages.columns if c != "items"], "x.*")
-    texts = items.filter("kind = 'text'")
-    found = items.filter("kind = 'media'").join(media, items.ref == media.digest, "left").drop("digest")
+def resolved(items: DataFrame, media: DataFrame) -> DataFrame:
+    """``items`` (key first, then pos, kind, text, ref, caption...) with the columns of ``media``
+    (digest, ...), joined by digest; a digest that many pages refer to is split. Texts and
+    references without stored media keep nulls there; pos and caption stay."""
+    texts = items.filter("kind <> 'media'")
+    found = join_split(items.filter("kind = 'media'"), media.withColumnRenamed("digest", "ref"), "ref", by=items.columns[0], how="left")
     return found.unionByName(texts, allowMissingColumns=True)
 
 
+def exploded(pages: DataFrame) -> DataFrame:
+    """A row for each item of ``parsed`` pages, beside the pages' other columns."""
+    rest = [c for c in pages.columns if c != "items"]
+    return pages.select(*rest, F.explode("items").alias("x")).select(*rest, "x.*")
+
+
 def sequences(items: DataFrame, key: str) -> DataFrame:
     """(key, items): the items of each page in order again."""
     rest = [c for c in items.columns if c != key]
@@ -189,8 +202,14 @@ def sequences(items: DataFrame, key: str) -> DataFrame:
 
 
 def columns(docs: DataFrame) -> DataFrame:
-    """A row of media columns for each row of ``docs``; equal texts have equal values."""
-    stored = cut(store(docs))
+    """A row of media columns for each row of ``docs``, with the media item's place and caption in
+    its page's sequence, and the sequence's items and characters of text. Equal texts have equal
+    values."""
+    stored = store(docs)
     media = cut(described(stored.select("digest", "media")))
-    found = resolved(parsed(stored, "doc_id", "n_bytes"), media).filter("kind = 'media'")
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
+    pages = parsed(stored, "doc_id", "n_bytes")
+    chars = F.aggregate("items", F.lit(0).cast("long"), lambda n, x: n + F.coalesce(F.length(x["text"]), F.lit(0)))
+    items = exploded(pages.select("doc_id", "n_bytes", F.size("items").alias("n_items"), chars.alias("text_chars"), "items"))
+    # texts stay where they were parsed; only the references move
+    found = resolved(cut(items.filter("kind = 'media'")), media)
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption", "n_items", "text_chars")
