@@ -146,34 +146,35 @@ def formatted_turns(turns: DataFrame) -> DataFrame:
     the other in one partition; its formatted text is their concatenation.
 
     Order: turn (null first), part, role, text; so repeated rows and equal turn numbers have a
-    defined place. Rows with a null layout are left out.
+    defined place. A row with a null layout has an empty formatted text.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            done = [render(r or "", t or "") for r, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            done = [("", 0, 0) if layout is None else render(r or "", t or "") for layout, r, t in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)]
             cols = list(zip(*done, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.int32()), strict=True)]], names=["conv_id", "formatted", "loss_start", "loss_end"])
 
-    ordered = turns.filter("layout is not null").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "part", "role", "text")
-    return ordered.select("conv_id", "role", "text").mapInArrow(run, "conv_id long, formatted string, loss_start int, loss_end int")
+    ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "part", "role", "text")
+    return ordered.select("conv_id", "layout", "role", "text").mapInArrow(run, "conv_id long, formatted string, loss_start int, loss_end int")
 
 
 def digests(formatted: DataFrame) -> DataFrame:
     """One row for each conversation, read back from ``formatted_turns`` in its order. Only hash
-    states are held, so a conversation may be of any length."""
+    states are held, so a conversation may be of any length. n_unmapped: records without a layout,
+    so that a conversation that has only these still has a row."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = object(), None
 
         def row() -> tuple:
-            conv, n, turns, chars, loss, total = state
-            return conv, n, turns.hexdigest(), chars, loss.hexdigest(), total
+            conv, n, turns, chars, loss, total, unmapped = state
+            return conv, n, turns.hexdigest(), chars, loss.hexdigest(), total, unmapped
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+            cols = list(zip(*rows, strict=True)) or [[]] * 7
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_unmapped"])
 
         for batch in it:
             rows = []
@@ -181,7 +182,7 @@ def digests(formatted: DataFrame) -> DataFrame:
                 if state is None or conv != now:
                     if state is not None:
                         rows.append(row())
-                    now, state = conv, [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    now, state = conv, [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
                 for role, said in read_back(text):
                     state[1] += 1
                     state[2].update(f"{role}\n{said}\n".encode())
@@ -189,10 +190,11 @@ def digests(formatted: DataFrame) -> DataFrame:
                 state[3] += len(masked)
                 state[4].update(masked.encode())
                 state[5] += len(text)
+                state[6] += not text
             yield out(rows)
         yield out([row()] if state is not None else [])
 
-    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_unmapped long")
 
 
 def turn_records(conversations: DataFrame) -> DataFrame:

@@ -86,8 +86,8 @@ e AS (SELECT *, length(replace(replace(replace(text, '\', '\\'), '###', '\h'), '
   length(replace(replace(replace(replace(replace(role, '\', '\\'), '###', '\h'), '</turn>', '\t'), ':', '\c'), chr(10), '\n')) AS head FROM c)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, sum(4 + head + 2 + body + 8)::BIGINT AS formatted_chars
-FROM e GROUP BY conv_id""".replace("\\\\", "\\\\")
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, sum(4 + head + 2 + body + 8)::BIGINT AS formatted_chars, 0::BIGINT AS n_unmapped
+FROM e GROUP BY conv_id"""
 
 
 def _level_sql(level: str, rows: str, mean: str) -> str:
@@ -95,7 +95,20 @@ def _level_sql(level: str, rows: str, mean: str) -> str:
     return f"""{level}_m AS ({rows}),
 {level}_s AS (SELECT CASE WHEN more > 0 AND seen > plain THEN least({urlrep.STRONGEST}, greatest({urlrep.WEAKEST}, more / (seen - plain) - 1)) ELSE {urlrep.STRONGEST} END AS s
   FROM (SELECT sum(pow(k - n * {mean}, 2)) AS seen, sum(n * {mean} * (1 - {mean})) AS plain, sum(n * (n - 1) * {mean} * (1 - {mean})) AS more FROM {level}_m WHERE n > 0)),
-{level}_p AS (SELECT {level}, n + s AS size, (k + s * {mean}) / (n + s) AS rate FROM {level}_m, {level}_s)"""
+{level}_p AS (SELECT {level}, n, k, s, {mean} AS mean, n + s AS size, (k + s * {mean}) / (n + s) AS rate FROM {level}_m, {level}_s)"""
+
+
+def _beta_sql(a: str, b: str, x: float) -> str:
+    """The beta distribution's function by its continued fraction, as in ``urlrep.beta_below``."""
+
+    def side(p: str, q: str, x: float) -> str:
+        even = f"(i // 2) * ({q} - i // 2) / (({p} + 2 * (i // 2) - 1) * ({p} + 2 * (i // 2)))"
+        odd = f"-({p} + i // 2) * ({p} + {q} + i // 2) / (({p} + 2 * (i // 2)) * ({p} + 2 * (i // 2) + 1))"
+        terms = f"list_transform(range({urlrep.TERMS}, 0, -1), lambda i: ((CASE WHEN i % 2 = 0 THEN {even} ELSE {odd} END) * {x})::DOUBLE)"
+        return f"exp(lgamma({p} + {q}) - lgamma({p}) - lgamma({q}) + {p} * ln({x}) + {q} * ln({1 - x})) / {p} / list_reduce(list_concat([1.0::DOUBLE], {terms}), lambda f, d: 1 + d / f)"
+
+    z = f"({x} - {a} / ({a} + {b})) / sqrt({a} * {b} / pow({a} + {b}, 2) / ({a} + {b} + 1))"
+    return f"CASE WHEN {a} + {b} > {urlrep.LARGE} THEN 1 / (1 + exp(-1.5976 * {z} - 0.070566 * pow({z}, 3))) WHEN {x} < ({a} + 1) / ({a} + {b} + 2) THEN {side(a, b, x)} ELSE 1 - {side(b, a, 1 - x)} END"
 
 
 _FIT = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{{}}'".replace("{}", f"{h}{p}") for _, h, p in sorted(urlrep.RULES, key=lambda r: -len(r[1] + r[2])))
@@ -106,14 +119,16 @@ q AS (SELECT page_id, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), '{UPP
   len(regexp_split_to_array(trim(t), '\s+')) AS words, greatest(length(t), 1) AS size FROM p),
 o AS (SELECT page_id, host, path, CASE WHEN t IS NOT NULL THEN (words < 30 OR length(t) - length(translate(t, '#*$%&', '')) > 0.03 * size OR length(t) - length(translate(t, '|', '')) > 0.2 * words
   OR length(t) - length(translate(t, '!', '')) > 0.2 * words OR length(t) - length(translate(t, '{UPPER}', '')) > 0.3 * size)::INT END AS bad FROM q),
-h AS (SELECT host, CASE WHEN regexp_extract(host, '([^.]*\.[^.]*)$', 1) = '' THEN host ELSE regexp_extract(host, '([^.]*\.[^.]*)$', 1) END AS domain, regexp_extract(host, '([^.]*)$', 1) AS suffix, count(bad) AS n, coalesce(sum(bad), 0) AS k FROM o GROUP BY 1),
+h0 AS (SELECT host, regexp_replace(host, ':[0-9]*$', '') AS name, count(bad) AS n, coalesce(sum(bad), 0) AS k FROM o GROUP BY 1),
+h1 AS (SELECT *, regexp_extract(name, '{urlrep.DOMAIN}', 1) AS found FROM h0),
+h AS (SELECT host, CASE WHEN single THEN name ELSE found END AS domain, CASE WHEN single THEN name ELSE regexp_replace(found, '^[^.]*\.', '') END AS suffix, n, k FROM (SELECT *, found = '' OR regexp_full_match(name, '[0-9.]*') AS single FROM h1)),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY ALL), x AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY ALL),
-{_level_sql("suffix", "SELECT *, (SELECT (sum(k) + 1) / (sum(n) + 2) FROM x) AS mean FROM x", "mean")},
-{_level_sql("domain", "SELECT d.*, rate AS mean FROM d JOIN suffix_p USING (suffix)", "mean")},
-{_level_sql("host", "SELECT h.*, rate AS mean FROM h JOIN domain_p USING (domain)", "mean")},
+{_level_sql("suffix", "SELECT *, ((SELECT sum(k) FROM x) - k + 1) / ((SELECT sum(n) FROM x) - n + 2) AS mean FROM x", "mean")},
+{_level_sql("domain", "SELECT d.*, (u.k - d.k + u.s * u.mean) / (u.n - d.n + u.s) AS mean FROM d JOIN suffix_p u USING (suffix)", "mean")},
+{_level_sql("host", "SELECT h.*, (u.k - h.k + u.s * u.mean) / (u.n - h.n + u.s) AS mean FROM h JOIN domain_p u USING (domain)", "mean")},
 r AS (SELECT page_id, host, path, CASE {_FIT} END AS rule FROM o)
-SELECT page_id, host, path, rule, CASE rule {_SAY} ELSE (CASE WHEN rate - {urlrep.BOUND} * sqrt(rate * (1 - rate) / (size + 1)) > {urlrep.ACCEPTED} THEN 'block' ELSE 'allow' END) END AS verdict
-FROM r JOIN host_p USING (host)"""
+SELECT page_id, host, path, rule, CASE rule {_SAY} ELSE (CASE WHEN risk <= {urlrep.RISK} THEN 'block' ELSE 'allow' END) END AS verdict
+FROM r JOIN (SELECT host, {_beta_sql("a", "b", urlrep.ACCEPTED)} AS risk FROM (SELECT host, size * rate AS a, size * (1 - rate) AS b FROM host_p)) USING (host)"""
 
 
 def oracle_sql() -> dict[str, str]:
