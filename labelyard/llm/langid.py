@@ -22,6 +22,8 @@ from .common import Words, batches, fold
 
 #: Training documents of each language, at most: a hashed share of them by id.
 FIT_DOCUMENTS = 1_500
+#: Languages that are learnt, at most: the most frequent values of `lang`.
+LANGUAGES = 256
 #: Tasks that count the sample's n-grams.
 FIT_TASKS = 8
 BUCKETS = 1 << 15
@@ -51,11 +53,12 @@ def trigrams(buf: np.ndarray) -> np.ndarray:
 
 
 def fit_tables(docs: DataFrame, folds: int = 4, held_out: int = 2) -> tuple[list[str], np.ndarray]:
-    """The languages in order and the (bucket, language) log-probabilities."""
+    """The languages in order and the (bucket, language) log-probabilities. A language's sample is
+    counted in one task, so that the driver gets one vector for each of LANGUAGES at most."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", folds) != held_out))
-    number = known.groupBy("lang").count()
+    number = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
     share = F.least(F.lit(1.0), F.lit(float(FIT_DOCUMENTS)) / F.col("count"))
-    # the table of languages has a row for each language of the world at most
+    # LANGUAGES rows at most
     some = known.join(F.broadcast(number.select("lang", share.alias("share"))), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,7 +69,7 @@ def fit_tables(docs: DataFrame, folds: int = 4, held_out: int = 2) -> tuple[list
                 counts[lang] += np.bincount(trigrams(np.frombuffer(t, np.uint8)), minlength=BUCKETS)
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c.tobytes() for c in counts.values()], pa.binary())], names=["lang", "counts"])
 
-    rows = some.select("lang", "text").repartition(FIT_TASKS).mapInArrow(run, "lang string, counts binary").collect()
+    rows = some.select("lang", "text").repartition(FIT_TASKS, "lang").mapInArrow(run, "lang string, counts binary").collect()
     total: dict[str, np.ndarray] = {}
     for lang, counts in rows:
         total[lang] = total.get(lang, 0) + np.frombuffer(counts, np.int64)
@@ -131,7 +134,7 @@ def infer(texts: list[bytes], table: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def predict(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, n_langs) for each row of ``docs``.
 
-    Learns from ``text`` and non-null ``lang`` outside the held-out fold. Null texts and texts
+    Learns from ``text`` and the LANGUAGES most frequent values of ``lang`` outside the held-out fold. Null texts and texts
     without a letter are ``und`` with score 0, as is everything when nothing could be learnt.
     """
     names, table = fit_tables(docs)
