@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, batches, cut, fold, kept_rows, labelled, sigmoid
+from .common import Words, batches, fold, kept_rows, labelled, sigmoid
 
 #: Labelled rows that a model is fitted on, at most: those with the smallest hashes of their ids.
 FIT_ROWS = 20_000
@@ -138,10 +138,13 @@ def document_statistics(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, x array<float>")
 
 
-def learn(stats: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2) -> Forest:
-    """A forest from labelled rows outside the held-out fold, FIT_ROWS of them at most."""
-    rows = stats.filter(fold("doc_id", folds) != held_out).join(labelled(labels, "quality"), "doc_id")
-    some = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).select("x", "y").toPandas()
+def learn(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2) -> Forest:
+    """A forest from labelled rows outside the held-out fold, FIT_ROWS of them at most. Only their
+    texts are read for it; of rows with the same id one counts."""
+    known = labelled(labels, "quality").filter(fold("doc_id", folds) != held_out)
+    chosen = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen.select("doc_id"), "doc_id", "left_semi")
+    some = document_statistics(rows).groupBy("doc_id").agg(F.min("x").alias("x")).join(chosen, "doc_id").toPandas().sort_values("doc_id")
     x = np.array(some["x"].tolist(), np.float32).reshape(len(some), len(FEATURES))
     return fit(x, some["y"].to_numpy(float))
 
@@ -152,19 +155,17 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null texts count as empty; an empty text has a score too. Equal texts have equal scores. With
     no usable labels every score is the same. Held out is false for a null id.
     """
-    stats = cut(document_statistics(docs))
-    forest = learn(stats, labels)
+    forest = learn(docs, labels)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            x = batch.column(1).flatten().to_numpy().reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(forest(x), pa.float64())], names=["doc_id", "score"])
+        for batch, texts in batches(it):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(forest(statistics(texts)), pa.float64())], names=["doc_id", "score"])
 
-    scored = stats.mapInArrow(run, "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that ``score`` predicts 1 for."""
-    forest = learn(cut(document_statistics(docs)), labels)
+    forest = learn(docs, labels)
     return kept_rows(docs, lambda: lambda texts: forest(statistics(texts)) >= ACCEPT)
