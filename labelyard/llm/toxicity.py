@@ -4,10 +4,13 @@ Words (ASCII lower case, punctuation dropped) and their proper prefixes of 4 to
 into buckets with an embedding each. Filters of widths 1 to 3 slide over the words of the whole
 text and others of width 1 over the prefixes; each filter's largest value goes into a logistic
 output. Embeddings begin with the z-score of the bucket's toxic documents as one coordinate, which
-half of the filters look at first; everything is then trained by Adam on a bounded sample. All
-other labelled rows are scored to choose a threshold for each language at the labels' true ratio;
-scores are stretched so that every language's threshold lies at 0.7. The language comes from
-function words of the text itself.
+half of the filters look at first; everything is then trained by Adam on a bounded sample.
+
+Several networks each leave out a part of that sample, and a score is their mean. All labelled rows
+are scored to choose a threshold for each language at the labels' true ratio, sampled ones by the
+network that hasn't seen them; languages with few toxic rows lean on the common counts. Scores are
+stretched so that every language's threshold lies at 0.7. The language comes from function words of
+the text itself.
 """
 
 from __future__ import annotations
@@ -15,14 +18,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, batches, fold, kept_rows, labelled, sigmoid
+from .common import Words, batches, cut, fold, kept_rows, labelled, sigmoid
 
 #: Labelled rows that a model is fitted on, at most (half of them toxic, if there are as many).
 FIT_ROWS = 6_000
+#: Bytes of their bucket ids, at most: in order of the hashes, as many rows as fit.
+FIT_BYTES = 1 << 27
 BUCKETS, WIDE, FILTERS, WIDTHS = 1 << 15, 12, 8, (1, 2, 3)
 PREFIXES = (4, 5, 6, 7)
 #: Zero rows behind each text: as many as the widest filter, so that one whole window is padding.
@@ -32,8 +38,10 @@ EPOCHS, BATCH, STEP, DECAY = 10, 64, 0.003, 1e-3
 #: z-score that chance reaches in a long text.
 CHANCE = 3
 ACCEPT = 0.7
-#: Toxic calibration rows below which a language takes the common threshold.
-LEAST_TOXIC = 25
+#: Networks, each fitted without its own part of the sample.
+NETWORKS = 4
+#: Toxic rows that the common counts weigh as in each language's calibration.
+LEAN = 8
 #: Equal bins of raw scores between 0 and 1, in which labelled rows are counted.
 SCORE_BINS = 1 << 12
 
@@ -45,8 +53,8 @@ FUNCTION_WORDS = {
     "es": "el la de que y los se del las un por con no una su para es al lo como",
 }
 
-#: Counted by language (0: none), label, whether fitted on, and score bin.
-COUNTS = (len(FUNCTION_WORDS) + 1, 2, 2, SCORE_BINS)
+#: Counted by language (0: none), label and score bin.
+COUNTS = (len(FUNCTION_WORDS) + 1, 2, SCORE_BINS)
 
 SPACE = np.ones(256, bool)
 SPACE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
@@ -193,69 +201,66 @@ def bins(p: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """A trained network and its thresholds. Without both labels: a constant score.
+    """Trained networks and thresholds. Without both labels: a constant score.
 
-    The rows in ``fit`` train the network. Thresholds come from the others, until ``calibrate``
-    takes them from counts of all rows.
+    ``part`` has the network that hasn't seen each row. Thresholds are of these rows, until
+    ``calibrate`` takes them from counts of all labelled rows.
     """
 
     def __init__(self, texts: list[np.ndarray], y: np.ndarray):
         self.constant = None
-        self.fit = np.zeros(0, int)
+        self.part = np.arange(len(y)) % NETWORKS
         if not len(y) or y.min() == y.max():
             self.constant = float((y.sum() + 1) / (len(y) + 2))
             return
-        for_thresholds = np.arange(len(y)) % 4 == 3
-        self.fit = fit = np.flatnonzero(~for_thresholds)
-        seen = [np.bincount(np.concatenate([np.unique(texts[i]) for i in fit if y[i] == k] or [np.zeros(0, int)]), minlength=BUCKETS + 1) for k in (0, 1)]
-        expected = (seen[0] + seen[1]) * y[fit].mean()
-        self.net = Network(np.clip(((seen[1] - expected) / np.sqrt(expected + 1) - CHANCE) / 4, -1, 3))
-        self.net.train([texts[i] for i in fit], y[fit])
+        found = [np.unique(t) for t in texts]
+        self.nets = []
+        for k in range(NETWORKS):
+            fit = np.flatnonzero(self.part != k)
+            seen = [np.bincount(np.concatenate([found[i] for i in fit if y[i] == j] or [np.zeros(0, int)]), minlength=BUCKETS + 1) for j in (0, 1)]
+            expected = (seen[0] + seen[1]) * (y[fit].mean() if len(fit) else 0.0)
+            net = Network(np.clip(((seen[1] - expected) / np.sqrt(expected + 1) - CHANCE) / 2, -1, 2))
+            net.train([texts[i] for i in fit], y[fit])
+            self.nets.append(net)
         ids = np.concatenate(texts)
         first = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
         counts = np.zeros(COUNTS)
-        np.add.at(counts, (languages(ids, first, language_table()), y.astype(int), (~for_thresholds).astype(int), bins(self.net.raw(ids, first, self.net.tables()))), 1)
+        np.add.at(counts, (languages(ids, first, language_table()), y.astype(int), bins(self.raw(ids, first, [n.tables() for n in self.nets], self.part))), 1)
         self.calibrate(counts)
 
-    def calibrate(self, counts: np.ndarray) -> None:
-        """Thresholds by language from the numbers of rows by (language, label, fitted, score bin).
+    def raw(self, ids: np.ndarray, first: np.ndarray, tables: list, part: np.ndarray | None = None) -> np.ndarray:
+        """Mean scores of the networks, or that of network ``part`` where it isn't -1."""
+        each = np.stack([net.raw(ids, first, t) for net, t in zip(self.nets, tables, strict=True)])
+        mean = each.mean(axis=0)
+        return mean if part is None else np.where(part < 0, mean, each[part, np.arange(len(part))])
 
-        The network knows the rows that it was fitted on, so only the others' scores count; they
-        are weighted so that each label has all its rows' share, however the fit was sampled.
-        """
+    def calibrate(self, counts: np.ndarray) -> None:
+        """Thresholds by language from the numbers of rows by (language, label, score bin)."""
         counts = np.asarray(counts, float)
         middle = np.tile((np.arange(SCORE_BINS) + 0.5) / SCORE_BINS, 2)
         label = np.repeat([0.0, 1.0], SCORE_BINS)
-
-        def pick(c: np.ndarray) -> float:
-            """Of (label, fitted, bin) counts."""
-            fresh = c[:, 0].sum(axis=1)
-            # without fresh rows of a label, the fitted ones are all there is
-            used = c[:, 0] if fresh.all() else c.sum(axis=1)
-            weight = (used * (c.sum(axis=(1, 2)) / np.maximum(used.sum(axis=1), 1))[:, None]).ravel()
-            at = weight > 0
-            return best_threshold(middle[at], label[at], weight[at])
-
-        common = pick(counts.sum(axis=0))
-        self.threshold = np.array([pick(c) if c[1, 0].sum() >= LEAST_TOXIC and c[0, 0].any() else common for c in counts])
+        common = counts.sum(axis=0)
+        mixed = (counts + common * LEAN / max(common[1].sum(), 1)).reshape(len(counts), -1)
+        self.threshold = np.array([best_threshold(middle[c > 0], label[c > 0], c[c > 0]) for c in mixed])
 
     def scorer(self):
         if self.constant is not None:
             return lambda texts: np.full(len(texts), self.constant)
-        tables, table = self.net.tables(), language_table()
+        tables, table = [n.tables() for n in self.nets], language_table()
 
         def run(texts: list[bytes]) -> np.ndarray:
             ids, first = buckets(texts)
-            p, t = self.net.raw(ids, first, tables), self.threshold[languages(ids, first, table)]
+            p, t = self.raw(ids, first, tables), self.threshold[languages(ids, first, table)]
             return np.where(p < t, p / t * ACCEPT, ACCEPT + (p - t) / (1 - t) * (1 - ACCEPT))
 
         return run
 
 
 def learn(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1) -> Model:
-    """A model from labelled rows outside the held-out fold, FIT_ROWS at most: those with the
-    smallest hashes of their ids, half of them toxic if there are as many. Texts come to the
-    driver as bucket ids. Thresholds are of all labelled rows outside the held-out fold."""
+    """A model from labelled rows outside the held-out fold, FIT_ROWS and FIT_BYTES at most: those
+    with the smallest hashes of their ids, half of them toxic if there are as many. Texts come to
+    the driver as bucket ids; of rows with the same id one text counts. Thresholds are of all
+    labelled rows outside the held-out fold."""
     known = labelled(labels, "toxic").filter(fold("doc_id", folds) != held_out)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     toxic = known.filter("y = 1").orderBy(*order).limit(FIT_ROWS // 2)
@@ -269,33 +274,42 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1)
             parts = [ids[a:b].astype("<u2").tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.binary()), batch.column(2)], names=["doc_id", "ids", "y"])
 
-    some = rows.mapInArrow(run, "doc_id long, ids binary, y int").toPandas()
+    once = cut(rows.mapInArrow(run, "doc_id long, ids binary, y int").groupBy("doc_id", "y").agg(F.min("ids").alias("ids")))
+    sizes = once.select("doc_id", F.octet_length("ids").alias("size"), F.xxhash64("doc_id").alias("h")).toPandas().sort_values(["h", "doc_id"])
+    fits = sizes["doc_id"][sizes["size"].cumsum() <= FIT_BYTES]
+    some = once.join(F.broadcast(docs.sparkSession.createDataFrame(pd.DataFrame({"doc_id": fits.astype("int64")}), "doc_id long")), "doc_id").toPandas()
     key = np.random.default_rng(3).permutation(len(some))
-    some = some.sort_values(["doc_id", "ids"]).iloc[key]
+    some = some.sort_values("doc_id").iloc[key]
     model = Model([np.frombuffer(b, "<u2").reshape(-1, 1 + len(PREFIXES)) for b in some["ids"]], some["y"].to_numpy(float))
     if model.constant is None:
-        model.calibrate(label_counts(docs.filter(fold("doc_id", folds) != held_out), known, model, some["doc_id"].to_numpy()[model.fit]))
+        model.calibrate(label_counts(docs.filter(fold("doc_id", folds) != held_out), known, model, some["doc_id"].to_numpy()))
     return model
 
 
-def label_counts(docs: DataFrame, known: DataFrame, model: Model, fitted: np.ndarray) -> np.ndarray:
-    """The rows of ``docs`` with a label in ``known`` by (language, label, in fitted, score bin).
-    Rows are scored where they lie; only their ids, languages and bins meet the labels."""
-    net, fitted = model.net, np.unique(fitted)
+def label_counts(docs: DataFrame, known: DataFrame, model: Model, sampled: np.ndarray) -> np.ndarray:
+    """The rows of ``docs`` with a label in ``known`` by (language, label, score bin). sampled: the
+    ids that the model was fitted on, in its order. Rows are scored where they lie; only their ids,
+    languages and bins meet the labels."""
+    order = np.argsort(sampled)
+    ids_of, part_of = sampled[order].astype(np.int64), model.part[: len(sampled)][order]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, table = net.tables(), language_table()
+        tables, table = [n.tables() for n in model.nets], language_table()
         for batch, texts in batches(it):
             ids, first = buckets(texts)
-            again = np.isin(batch.column(0).to_numpy(zero_copy_only=False), fitted)
-            cols = (languages(ids, first, table), again, bins(net.raw(ids, first, tables)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c.astype("i4")) for c in cols]], names=["doc_id", "lang", "fitted", "bin"])
-
-    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang int, fitted int, bin int").join(known, "doc_id")
+            own = np.array([-1 if i is None else i for i in batch.column(0).to_pylist()], np.int64)
+            part = np.full(len(own), -1)
+            if len(ids_of):
+                at = np.minimum(np.searchsorted(ids_of, own), len(ids_of) - 1)
+                part = np.where(ids_of[at] == own, part_of[at], -1)
+            cols = (languages(ids, first, table), bins(model.raw(ids, first, tables, part)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c.astype("i4")) for c in cols]], names=["doc_id", "lang", "bin"])
+
+    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang int, bin int").join(known, "doc_id")
     counts = np.zeros(COUNTS)
     # a row for each cell of COUNTS at most
-    for lang, y, again, at, n in found.groupBy("lang", "y", "fitted", "bin").count().collect():
-        counts[lang, y, again, at] = n
+    for lang, y, at, n in found.groupBy("lang", "y", "bin").count().collect():
+        counts[lang, y, at] = n
     return counts
 
 
