@@ -32,7 +32,7 @@ CLOSE_ENOUGH = 32
 #: Pieces that one task of the second round takes, and its open bins.
 SECOND_ROUND, SECOND_BINS = 16_384, 2048
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 800_000
 #: Bytes of text that a worker encodes at once.
 BLOCK_BYTES = 1 << 23
 #: How special tokens begin.
@@ -73,7 +73,9 @@ class WordEncoder:
         """The ids of words one behind the other, and where each word's end."""
         size = self.size[places]
         end = np.cumsum(size, dtype=np.int64)
-        return self.ids[np.repeat(self.start[places] - (end - size), size) + np.arange(end[-1] if len(end) else 0)], end
+        at = np.repeat((self.start[places] - (end - size)).astype(np.int32), size)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.ids[at], end
 
     def _add(self, words: list[str], ids: np.ndarray, end: np.ndarray) -> None:
         start = np.concatenate(([0], end[:-1]))
