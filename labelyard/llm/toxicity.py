@@ -222,10 +222,11 @@ class Model:
             net = Network(np.clip(((seen[1] - expected) / np.sqrt(expected + 1) - CHANCE) / 2, -1, 2))
             net.train([texts[i] for i in fit], y[fit])
             self.nets.append(net)
-        ids = np.concatenate(texts)
-        first = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-        counts = np.zeros(COUNTS)
-        np.add.at(counts, (languages(ids, first, language_table()), y.astype(int), bins(self.raw(ids, first, [n.tables() for n in self.nets], self.part))), 1)
+        counts, tables, table = np.zeros(COUNTS), [n.tables() for n in self.nets], language_table()
+        for at in range(0, len(texts), BATCH):  # few texts at once, as the maps are wide
+            some = texts[at : at + BATCH]
+            ids, first = np.concatenate(some), np.concatenate(([0], np.cumsum([len(t) for t in some])))
+            np.add.at(counts, (languages(ids, first, table), y[at : at + BATCH].astype(int), bins(self.raw(ids, first, tables, self.part[at : at + BATCH]))), 1)
         self.calibrate(counts)
 
     def raw(self, ids: np.ndarray, first: np.ndarray, tables: list, part: np.ndarray | None = None) -> np.ndarray:
