@@ -122,9 +122,13 @@ def review_queue(rows: DataFrame, minority: int = MINORITY) -> DataFrame:
 
 def digest(rows: DataFrame, *order: str) -> DataFrame:
     """One digest of a table in any order of its rows: of 65,536 parts by row digest, each the
-    digest of its sorted row digests, so that no list of all rows is built."""
-    row = F.sha2(F.to_json(F.struct(*order)), 256)
-    parts = rows.select(row.alias("h")).groupBy(F.substring("h", 1, 4).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"))
+    digest of its sorted row digests with the number of equal rows, so that neither a list of all
+    rows nor one of many equal rows is built. A value counts by the digest of its text, a null as a
+    dash."""
+    row = F.sha2(F.concat(*[F.coalesce(F.sha2(F.col(c).cast("string"), 256), F.lit("-")) for c in order]), 256)
+    equal = rows.groupBy(row.alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    said = F.concat_ws(":", "h", F.col("n").cast("string"))
+    parts = equal.select(said.alias("h")).groupBy(F.substring("h", 1, 4).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ";"), 256).alias("d"))
     return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x["d"]), ""), 256).alias("digest"))
 
 

@@ -147,8 +147,10 @@ def scene_weights(rows: DataFrame, label: str, target: int, scene: str) -> DataF
 
 
 def uniform(*keys: Column | str, seed: int) -> Column:
-    """A number in [0, 1) that depends on keys and seed only."""
-    return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    """A number in [0, 1) that depends on keys and seed only: the first 32 bits of their md5, which
+    other engines have too."""
+    digest = F.md5(F.concat_ws(":", *keys, F.lit(str(seed))))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
 def prior_random(rows: DataFrame, labels: int, seed: int = 42) -> DataFrame:
@@ -170,9 +172,9 @@ def uniform_random(rows: DataFrame, labels: int, seed: int = 42) -> DataFrame:
 def weighted_sample(rows: DataFrame, key: str, weight: str, draws: int | None = None, seed: int = 42) -> DataFrame:
     """``draws`` rows (None: as many as there are) in expectation, with replacement: each row is
     drawn as often as the whole numbers that its expected count, shifted by a hashed uniform,
-    passes. No global order."""
+    passes. No global order. Expected counts are rounded, as sums depend on the layout."""
     size = rows.agg(F.sum(weight).alias("weight_total"), (F.count(F.lit(1)) if draws is None else F.lit(draws)).alias("draws_total"))
-    expected = F.col(weight) / F.col("weight_total") * F.col("draws_total")
+    expected = F.round(F.col(weight) / F.col("weight_total") * F.col("draws_total"), 9)
     times = F.floor(expected + uniform(key, seed=seed)).cast("int")
     some = rows.crossJoin(F.broadcast(size)).withColumn("times", times).filter("times > 0")
     return some.withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("weight_total", "draws_total", "times")

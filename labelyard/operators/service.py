@@ -1,7 +1,7 @@
 """Detections to alerts, reviews, events and work orders, as batch operators.
 
-Ingestion is idempotent by alert id, an alert's first decision stands, and unknown states are
-refused.
+Ingestion is idempotent by alert id, an alert's first decision stands, and updates to unknown states
+change nothing.
 """
 
 from __future__ import annotations
@@ -49,9 +49,14 @@ def work_orders(events_: DataFrame, requests: DataFrame) -> DataFrame:
     return requests.join(events_.select("event_id"), "event_id").select(F.concat(F.lit("WO-"), F.col("request_id").cast("string")).alias("order_id"), "event_id", "assignee", F.lit("pending").alias("status"))
 
 
+def refused(updates: DataFrame) -> DataFrame:
+    """The updates that ``latest_orders`` leaves out: those to a null or unknown state."""
+    return updates.filter(~F.coalesce(F.col("status").isin(*ORDER_STATES), F.lit(False)))
+
+
 def latest_orders(updates: DataFrame) -> DataFrame:
     """The last state of each order (order_id, status, ts, feedback); the last feedback that isn't
-    blank stays; completed_at only for completed orders. Unknown states are refused."""
+    blank stays; completed_at only for completed orders. ``refused`` updates change nothing."""
     some = updates.filter(F.col("status").isin(*ORDER_STATES))
     said = F.when(F.coalesce(F.trim("feedback"), F.lit("")) != "", F.struct("ts", "feedback"))
     last = some.groupBy("order_id").agg(F.max_by("status", F.struct("ts", "status")).alias("status"), F.max(said).alias("f"), F.max(F.when(F.col("status") == "completed", F.col("ts"))).alias("done"))

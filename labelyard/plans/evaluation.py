@@ -180,10 +180,16 @@ def baseline_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.rounded(M.summary(M.per_class(counts, N, "fold"), "zerofill", "fold"))
 
 
-@query()
+UNIFORM_SQL = "(('0x' || substr(md5(filename || ':42'), 1, 8))::BIGINT / 4294967296::DOUBLE)"
+BELOW_SQL = "[" + ", ".join(f"count(*) FILTER (WHERE true_id <= {i})" for i in range(N)) + "]"
+DRAWN_SQL = f"""drawn AS (SELECT 'train_prior_random' AS baseline, fold, true_id, len(list_filter(below, lambda x: x <= u * below[{N}]))::INT AS pred_id
+  FROM (SELECT *, {UNIFORM_SQL} AS u FROM pred) JOIN (SELECT held AS fold, {BELOW_SQL} AS below FROM pred, (SELECT DISTINCT fold AS held FROM pred) WHERE fold <> held GROUP BY 1) USING (fold)
+  UNION ALL SELECT 'uniform_random', fold, true_id, floor({UNIFORM_SQL} * {N})::INT FROM pred)"""
+
+
+@query(scores_sql(PRED_SQL, DRAWN_SQL, source="drawn", keys="baseline, fold,", rule="zerofill"))
 def prior_random(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics of draws from the other folds' class shares and of draws from all labels alike; no
-    SQL for the hashed draw."""
+    """Metrics of draws from the other folds' class shares and of draws from all labels alike."""
     rows = pred(spark, sf_dir)
     drawn = [("train_prior_random", P.prior_random(rows, N)), ("uniform_random", P.uniform_random(rows, N))]
     both = reduce(DataFrame.unionByName, [d.select(F.lit(name).alias("baseline"), "fold", "true_id", "pred_id") for name, d in drawn])
@@ -206,9 +212,15 @@ def scene_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.rounded(P.scene_weights(pred(spark, sf_dir), "true_id", MAJORITY, "group_id").select("event_id", "weight"))
 
 
-@query()
+@query(
+    sql(
+        PRED_SQL, "weighted AS (SELECT true_id, filename, pow((count(*) OVER (PARTITION BY true_id))::DOUBLE, -1.0) AS weight FROM pred)",
+        f"times AS (SELECT true_id, floor(round(weight / (sum(weight) OVER ()) * (count(*) OVER ()), 9) + {UNIFORM_SQL})::BIGINT AS times FROM weighted)",
+        body="SELECT true_id, sum(times)::BIGINT AS draws FROM times WHERE times > 0 GROUP BY 1",
+    )
+)
 def weighted_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As many draws as rows, by weight; a sampling operator without SQL (hashed uniforms)."""
+    """As many draws as rows, by weight."""
     rows = P.power_weights(pred(spark, sf_dir), "true_id", 1.0)
     return P.weighted_sample(rows, "filename", "weight").groupBy("true_id").agg(F.count(F.lit(1)).alias("draws"))
 

@@ -135,3 +135,14 @@ def test_digest_ignores_order(spark):
     df = spark.createDataFrame([(i, str(i)) for i in range(50)], "a long, b string")
     one = manifest.digest(df, "a", "b").first()[0]
     assert one == manifest.digest(df.orderBy(F.desc("a")), "a", "b").first()[0] != manifest.digest(df.filter("a > 0"), "a", "b").first()[0]
+
+
+def test_digest_counts_equal_rows_and_tells_nulls(spark):
+    make = lambda *rows: manifest.digest(spark.createDataFrame(list(rows), "a string, b string"), "a", "b").first()[0]
+    cases = [[("x", "y")], [("x", "y")] * 2, [("xy", "")], [("", "xy")], [("xy", None)], [(None, "xy")], [("-", "xy")]]
+    assert len({make(*c) for c in cases}) == len(cases)
+
+
+def test_refused_updates(spark):
+    df = spark.createDataFrame([("a", "pending"), ("b", "lost"), ("c", None)], "order_id string, status string")
+    assert sorted(r["order_id"] for r in service.refused(df).collect()) == ["b", "c"]
