@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import raster as T
 from ..operators import service as S
+from ..operators.postproc import exact_median
 from .fixtures import MANIFEST_SQL, manifest, sql, table
 
 QUERIES: dict = {}
@@ -64,7 +65,8 @@ def water_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql(PIXEL_SQL, body="SELECT tile, col, round(median(green), 6) AS green FROM px GROUP BY ALL"))
 def median_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pixels(spark, sf_dir).groupBy("tile", "col").agg(F.round(F.median("green"), 6).alias("green"))
+    """Medians by rank, as a window of a hot tile may hold more values than a task's memory."""
+    return exact_median(pixels(spark, sf_dir), ["tile", "col"], "green").select("tile", "col", F.round("median", 6).alias("green"))
 
 
 @query("SELECT l_suppkey AS tile, concat_ws(',', CASE WHEN a.h IS DISTINCT FROM b.h THEN 'height' END) AS differs FROM (SELECT l_suppkey, count(*) AS h FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1) a FULL JOIN (SELECT l_suppkey, count(*) AS h FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1) b USING (l_suppkey)")
