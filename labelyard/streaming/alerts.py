@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -27,7 +28,14 @@ def ingest(detections: DataFrame, late: str = "1 hour") -> DataFrame:
     return rows.withWatermark("created_at", late).dropDuplicatesWithinWatermark(["alert_id"])
 
 
+#: Milliseconds of event time for which a decided alert is remembered.
+KEEP = 30 * 24 * 3_600_000
+
+
 def _decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     rows = pd.concat(list(batches), ignore_index=True)
     if state.exists:
         return
@@ -36,14 +44,17 @@ def _decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
     if len(valid):
         first = valid.sort_values(["ts", "action", "reason"]).iloc[:1]
         state.update((first["action"].iloc[0],))
+        decided = int(first["ts"].iloc[0].timestamp() * 1000)
+        state.setTimeoutTimestamp(max(decided, state.getCurrentWatermarkMs()) + KEEP)
         status = "confirmed" if first["action"].iloc[0] == "confirm" else "rejected"
         yield pd.DataFrame({"alert_id": [key[0]], "status": [status], "reviewed_at": first["ts"].to_numpy(), "reject_reason": [first["reason"].iloc[0] if status == "rejected" else None]})
 
 
-def decisions(actions: DataFrame) -> DataFrame:
+def decisions(actions: DataFrame, late: str = "1 hour") -> DataFrame:
     """A stream of first decisions from a stream of (alert_id, action, ts, reason): once decided,
-    an alert's later actions change nothing."""
-    return actions.groupBy("alert_id").applyInPandasWithState(_decide, "alert_id string, status string, reviewed_at timestamp, reject_reason string", "action string", "append", GroupStateTimeout.NoTimeout)
+    an alert's later actions change nothing while it is remembered, which is until the watermark
+    lies KEEP behind the decision. Actions that are later than ``late`` go."""
+    return actions.withWatermark("ts", late).groupBy("alert_id").applyInPandasWithState(_decide, "alert_id string, status string, reviewed_at timestamp, reject_reason string", "action string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def counts(events: DataFrame, late: str = "1 hour", width: str = "15 minutes", slide: str | None = None, *keys: str) -> DataFrame:
@@ -51,14 +62,25 @@ def counts(events: DataFrame, late: str = "1 hour", width: str = "15 minutes", s
     return window_counts(events.withWatermark("ts", late), F.window("ts", width, slide or width), *keys)
 
 
-def upsert_alerts(batch: DataFrame, _: int, path: str) -> None:
-    """For foreachBatch: alerts of a batch beside those in a Parquet folder, without repetitions."""
+def upsert_alerts(batch: DataFrame, _: int, path: str, days: int = 7) -> None:
+    """For foreachBatch: alerts of a batch beside those in a Parquet folder, partitioned by the day
+    of ``created_at``. An id is not repeated within ``days`` before and after; only these days of
+    the folder are read. Alerts without a time lie together and are compared among themselves."""
     spark = batch.sparkSession
-    fresh = as_alerts(batch)
+    day = F.to_date("created_at")
+    fresh = as_alerts(batch).withColumn("day", day)
     try:
-        known = spark.read.parquet(path).select("alert_id")
-        fresh = fresh.join(known, "alert_id", "left_anti")
-    except Exception as e:  # noqa: BLE001  the first batch finds no folder
-        if "PATH_NOT_FOUND" not in str(e):
+        known = spark.read.schema(fresh.schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-    fresh.write.mode("append").parquet(path)
+        known = None
+    if known is not None:
+        # at most the days of a batch
+        own = fresh.select("day").distinct()
+        near = own.filter("day is not null").select(F.explode(F.sequence(F.date_sub("day", days), F.date_add("day", days))).alias("day")).distinct()
+        near = near.unionByName(own.filter("day is null"))
+        same = F.col("day").eqNullSafe(F.col("near_day"))
+        known = known.join(F.broadcast(near.select(F.col("day").alias("near_day"))), same, "left_semi")
+        fresh = fresh.join(known.select("alert_id"), "alert_id", "left_anti").select(*fresh.columns)
+    fresh.write.mode("append").partitionBy("day").parquet(path)
