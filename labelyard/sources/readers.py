@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.manifest import last_of_key
+from ..operators.manifest import last_of_key, ranks
 from ..operators.validate import duplicate_keys, outside_domain, require, require_rows
 
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png")
@@ -32,15 +32,26 @@ def scan_files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = IMAGE
 
 
 def file_candidates(files: DataFrame) -> DataFrame:
-    """(filename, n_paths, first_path): places of each name; ``files`` itself has every one."""
+    """(filename, n_paths, first_path): places of each name; ``paths_of_names`` has every one."""
     return files.groupBy("filename").agg(F.count(F.lit(1)).alias("n_paths"), F.min("path").alias("first_path"))
 
 
+def paths_of_names(files: DataFrame) -> DataFrame:
+    """(filename, path, rank, rank_n): every path of each name with its place among them, as rows,
+    so that a name with very many paths isn't one list."""
+    return ranks(files.select("filename", "path"), ["filename"], "path")
+
+
+def folded(name: Column | str) -> Column:
+    """``name`` without case; the sharp s equals ss."""
+    return F.regexp_replace(F.lower(name), "ß", "ss")
+
+
 def unique_files(files: DataFrame) -> DataFrame:
     """files with names that are unique whatever the case; raises otherwise or if there are none."""
     require_rows(files)
-    require(duplicate_keys(files, F.lower("filename").alias("name")), "file name occurs twice")
-    return files.orderBy(F.lower("filename"), "path")
+    require(duplicate_keys(files, folded("filename").alias("name")), "file name occurs twice")
+    return files.orderBy(folded("filename"), "path")
 
 
 def digests(files: DataFrame) -> DataFrame:
@@ -81,6 +92,14 @@ def keyed_manifest(spark: SparkSession, path: str, schema: T.StructType | str, k
     return last_of_key(csv_table(spark, path, schema).withColumn("_row", F.monotonically_increasing_id()), key, "_row").drop("_row")
 
 
+def scene_groups(spark: SparkSession, path: str, schema: T.StructType | str, key: str = "filename", group: str = "scene_group") -> DataFrame:
+    """A CSV manifest of scene groups with one row for each key, the last; raises if a key's group
+    is blank or missing."""
+    rows = keyed_manifest(spark, path, schema, key)
+    require(rows.filter(F.coalesce(F.trim(group), F.lit("")) == ""), f"{group} is blank")
+    return rows
+
+
 def enabled(index: DataFrame) -> DataFrame:
     """Rows whose training_use says true in any case."""
     return index.filter(F.lower(F.col("training_use").cast("string")) == "true")
@@ -91,8 +110,9 @@ def detections(spark: SparkSession, path: str) -> DataFrame:
 
 
 def geojson_features(spark: SparkSession, path: str) -> DataFrame:
-    """(type, geometry JSON, properties) of a feature collection."""
-    rows = spark.read.option("multiLine", True).schema("features array<struct<type:string,geometry:struct<type:string,coordinates:array<array<array<double>>>>,properties:map<string,string>>>").json(path)
+    """(type, geometry JSON, properties) of a feature collection. Geometries of any kind keep their
+    coordinates, as they stay JSON text; a null geometry is null."""
+    rows = spark.read.option("multiLine", True).schema("features array<struct<type:string,geometry:string,properties:map<string,string>>>").json(path)
     return rows.select(F.explode("features").alias("f")).select("f.type", "f.geometry", "f.properties")
 
 

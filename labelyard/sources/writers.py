@@ -44,14 +44,15 @@ def atomic_text(text: str, path: str) -> None:
         raise
 
 
-def csv_file(df: DataFrame, path: str, order: Sequence[str]) -> None:
-    """A small table as one CSV file with a byte order mark."""
+def csv_file(df: DataFrame, path: str, order: Sequence[str], columns: Sequence[str] | None = None) -> None:
+    """``columns`` (None: all) of a small table as one CSV file with a byte order mark; others may
+    serve as ``order`` and are left out."""
     import io
 
     out = io.StringIO()
     writer = csv.writer(out)
-    writer.writerow(df.columns)
-    writer.writerows(_small(df.orderBy(*order)))
+    writer.writerow(columns or df.columns)
+    writer.writerows(_small(df.orderBy(*order).select(*columns or df.columns)))
     atomic_text("\ufeff" + out.getvalue(), path)
 
 
@@ -89,6 +90,14 @@ def prediction_columns(df: DataFrame, labels: Sequence[str], form: str = "%.9f",
     return df.select("filename", *[F.format_string(form, F.get("probs", F.lit(i))).alias(prefix + x) for i, x in enumerate(labels)])
 
 
+def fold_predictions(df: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """The columns of a fold's prediction file from rows (filename, fold, true_id, pred_id, logits,
+    probs): key columns, labels by id and by name, logit_ and prob_ columns."""
+    names = F.array(*[F.lit(x) for x in labels])
+    keys = [c for kind in ("true", "pred") for c in (F.col(f"{kind}_id").alias(f"{kind}_label_id"), F.get(names, F.col(f"{kind}_id")).alias(f"{kind}_label"))]
+    return df.select("filename", "fold", *keys, *[F.get(of, F.lit(i)).alias(prefix + x) for of, prefix in (("logits", "logit_"), ("probs", "prob_")) for i, x in enumerate(labels)])
+
+
 def probability_array(df: DataFrame, labels: Sequence[str]) -> DataFrame:
     """Adds ``probs`` from columns that begin with prob_ or p_."""
     for prefix in ("prob_", "p_"):
