@@ -65,7 +65,7 @@ def with_prior(probs: Column | str, own: Column | str, all_: Column | str, stren
 
 def seen_prior(rows: DataFrame, labels: int, strengths: Sequence[float]) -> DataFrame:
     """Predictions of query rows for each strength: (event columns..., strength, pred_id)."""
-    split = support_split(rows)
+    split = cut(support_split(rows))  # read for both sides
     own = class_shares(split.filter("is_support"), labels, "group_id").withColumnRenamed("shares", "own")
     everything = class_shares(rows, labels).withColumnRenamed("shares", "everything")
     query = split.filter("not is_support").drop("pred_id").join(own, "group_id").crossJoin(F.broadcast(everything))
@@ -89,7 +89,7 @@ def group_median(rows: DataFrame, key: str, value: str = "probs") -> DataFrame:
 
 def smoothed(rows: DataFrame, shares: Sequence[float]) -> DataFrame:
     """Predictions of query rows from (1 - share) p + share median of their group's support."""
-    split = support_split(rows)
+    split = cut(support_split(rows))  # read for both sides, and twice to find ranges
     centre = group_median(split.filter("is_support"), "group_id")
     query = split.filter("not is_support").drop("pred_id").join(centre, "group_id").withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares])))
     mixed = F.zip_with("probs", "median", lambda p, m: F.round((1 - F.col("share")) * p + F.col("share") * m, 9))
