@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytebpe, chat, langid, media, neardup, outliers, packing, quality, toxicity, urlrep
+from . import bytebpe, chat, langid, media, neardup, outliers, packing, periodic, quality, repair, tokenfiles, toxicity, urlrep
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,8 +61,22 @@ def op10_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.judge(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(table(spark, sf_dir, "documents"), periodic.plant)
+
+
+def op12_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokenfiles.written_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Query]:
-    own = [op1_best_fit_packing, op2_toxicity, op3_minhash_near_dedup, op4_language_mixture, op5_schema_chat, op6_byte_bpe, op7_media_sequences, op8_quality_trees, op9_host_reputation, op10_robust_outliers]
+    own = [op1_best_fit_packing, op2_toxicity, op3_minhash_near_dedup, op4_language_mixture, op5_schema_chat, op6_byte_bpe, op7_media_sequences, op8_quality_trees, op9_host_reputation, op10_robust_outliers, op11_periodic_runs, op12_orc_tokens, op13_conversation_repair]
     return {q.__name__: q for q in own}
 
 
@@ -131,6 +145,65 @@ SELECT page_id, host, path, rule, CASE rule {_SAY} ELSE (CASE WHEN risk <= {urlr
 FROM r JOIN (SELECT host, {_beta_sql("a", "b", urlrep.ACCEPTED)} AS risk FROM (SELECT host, size * rate AS a, size * (1 - rate) AS b FROM host_p)) USING (host)"""
 
 
+def _crc_sql(text: str) -> str:
+    """crc32 of an ASCII text, bit by bit."""
+    bits = "list_reduce(list_concat([xor(c, b)], range(8)), lambda x, k: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({text}, ''), lambda z: ascii(z)::BIGINT)), lambda c, b: {bits}), 4294967295)"
+
+
+#: Pairs of equal grams at every distance, gaps and islands of each distance, the smallest period of
+#: equal stretches.
+RUNS_SQL = f"""WITH h AS (SELECT doc_id, {_crc_sql("doc_id::VARCHAR")} AS h, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+b AS (SELECT *, len(w) AS n, (h // 10) % greatest(len(w), 1) AS a FROM h),
+p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM b),
+d AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) ELSE w END AS w FROM p),
+g AS (SELECT doc_id, n, i, array_to_string(w[i + 1:i + 8], ' ') AS gram FROM (SELECT *, unnest(range(n - 7)) AS i FROM d WHERE n >= 24)),
+pair AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM g x JOIN g y USING (doc_id, gram) WHERE y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+isle AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS isle FROM pair),
+stretch AS (SELECT doc_id, q, min(i) AS start, max(i) - min(i) + 8 + q AS length FROM isle GROUP BY doc_id, q, isle),
+run AS (SELECT doc_id, start, length, min(q) AS period FROM stretch GROUP BY ALL HAVING length >= greatest(24, 3 * min(q))),
+best AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length::DECIMAL(18, 0) / period DESC, start, period) = 1),
+every AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS said FROM run GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM run),
+left_over AS (SELECT doc_id, string_agg(w[i + 1], ' ' ORDER BY i) AS said FROM (SELECT doc_id, w, unnest(range(n)) AS i FROM d) ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(every.said, '')) AS runs_sha256, sha256(coalesce(left_over.said, '')) AS collapsed_sha256
+FROM d LEFT JOIN every USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN left_over USING (doc_id)"""
+
+
+def _edit_sql(state: str, cost: str, letter: str) -> str:
+    """A state's text: its cost in eight digits, then its edits; the least text is the cheapest."""
+    return f"printf('%08d', substr({state}, 1, 8)::INT + {cost}) || substr({state}, 9) || '{letter}'"
+
+
+def _repair_sql() -> str:
+    n = repair
+    keep = lambda s, ch: f"CASE WHEN NOT must AND ch = '{ch}' THEN {_edit_sql(s, 'more', 'K')} END"
+    role = lambda s: f"CASE WHEN NOT must THEN {_edit_sql(s, f'more + {n.REROLE}', 'R')} END"
+    drop = lambda s: _edit_sql(s, str(n.DELETE), "D")
+    ins = lambda s: _edit_sql(s, str(n.INSERT), "I")
+    return rf"""WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS h FROM conversations),
+d AS (SELECT conv_id, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM t),
+o AS (SELECT *, row_number() OVER w AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said,
+  CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'x' END AS ch FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+f AS (SELECT *, lag(ch) OVER (PARTITION BY conv_id ORDER BY i) AS prior, CASE WHEN said = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM o),
+r AS (SELECT conv_id, i, role, text, ch, fault IN ('blank', 'duplicate') AS must, CASE fault WHEN 'truncated' THEN {n.TRUNCATED} ELSE 0 END AS more FROM f),
+dp AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, '00000000' AS z, NULL::VARCHAR AS s, '0000000{n.INSERT}I' AS u, '0000000{2 * n.INSERT}II' AS a FROM r
+  UNION ALL SELECT conv_id, i, z, s, u, least(a, {ins("u")}) FROM (SELECT conv_id, i, z, s, least(u, {ins("z")}, {ins("s")}, {ins("a")}) AS u, a FROM (
+    SELECT r.conv_id, r.i, {drop("z")} AS z, least({drop("s")}, {keep("z", "s")}) AS s,
+      least({drop("u")}, {keep("z", "u")}, {keep("s", "u")}, {keep("a", "u")}, {role("z")}, {role("s")}, {role("a")}) AS u, least({drop("a")}, {keep("u", "a")}, {role("u")}) AS a
+    FROM dp JOIN r ON r.conv_id IS NOT DISTINCT FROM dp.conv_id AND r.i = dp.i + 1))),
+best AS (SELECT conv_id, substr(e, 1, 8)::BIGINT AS cost, substr(e, 9) AS audit FROM (SELECT conv_id, least(z, a) AS e FROM dp QUALIFY i = max(i) OVER (PARTITION BY conv_id))),
+l AS (SELECT *, audit[k] AS letter FROM (SELECT *, unnest(range(1, length(audit) + 1)) AS k FROM best)),
+m AS (SELECT *, sum((letter <> 'I')::INT) OVER w AS i, sum((letter <> 'D')::INT) OVER w AS place FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY k)),
+x AS (SELECT m.conv_id, k, letter, place, r.role, r.text, max((letter = 'K' AND ch = 's')::INT) OVER (PARTITION BY m.conv_id) AS led FROM m LEFT JOIN r ON m.conv_id IS NOT DISTINCT FROM r.conv_id AND m.i = r.i AND letter <> 'I'),
+y AS (SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (place - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY k) AS said FROM x WHERE letter <> 'D' GROUP BY 1),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+  count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE prior || ch NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY 1)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN y ON y.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express a query; tests compare the others with brute force."""
-    return {"op3_minhash_near_dedup": NEAR_SQL, "op5_schema_chat": CHAT_SQL, "op9_host_reputation": HOST_SQL}
+    return {"op3_minhash_near_dedup": NEAR_SQL, "op5_schema_chat": CHAT_SQL, "op9_host_reputation": HOST_SQL, "op11_periodic_runs": RUNS_SQL, "op13_conversation_repair": _repair_sql()}
