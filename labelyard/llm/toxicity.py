@@ -6,15 +6,19 @@ text and others of width 1 over the prefixes; each filter's largest value goes i
 output. Embeddings begin with the z-score of the bucket's toxic documents as one coordinate, which
 half of the filters look at first; everything is then trained by Adam on a bounded sample.
 
-Several networks each leave out a part of that sample, and a score is their mean. All labelled rows
-are scored to choose a threshold for each language at the labels' true ratio, sampled ones by the
-network that hasn't seen them; languages with few toxic rows lean on the common counts. Scores are
+Several networks each leave out a part of that sample and are trained in tasks of their own, and a
+score is their mean. All labelled rows are scored to choose a threshold for each language at the
+labels' true ratio, sampled ones by the network that hasn't seen them; languages with few toxic rows
+lean on the common counts. A threshold needs evidence: the rows at or above it must be toxic by
+more than a half, as seen from the base rate; where none is, hardly any score passes. Scores are
 stretched so that every language's threshold lies at 0.7. The language comes from function words of
 the text itself.
 """
 
 from __future__ import annotations
 
+import functools
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +46,10 @@ ACCEPT = 0.7
 NETWORKS = 4
 #: Toxic rows that the common counts weigh as in each language's calibration.
 LEAN = 8
+#: What a threshold's posterior precision must pass, and the rows that the base rate counts as.
+PRECISION, DOUBT = 0.5, 2
+#: Bits of a filter on labelled ids.
+FILTER_BITS = 1 << 23
 #: Equal bins of raw scores between 0 and 1, in which labelled rows are counted.
 SCORE_BINS = 1 << 12
 
@@ -111,6 +119,9 @@ class Network:
         self.o = np.full(len(self.w) * FILTERS, 0.3, np.float32)
         self.c = np.full(1, -1.0, np.float32)
 
+    def params(self) -> list[np.ndarray]:
+        return [self.e, *self.w, self.b, self.o, self.c]
+
     def tables(self) -> list[list[np.ndarray]]:
         """What a bucket adds to each filter of each width at each place."""
         return [[self.e @ part for part in w] for w in self.w]
@@ -140,7 +151,7 @@ class Network:
 
     def train(self, texts: list[np.ndarray], y: np.ndarray) -> None:
         rng = np.random.default_rng(5)
-        params = [self.e, *self.w, self.b, self.o, self.c]
+        params = self.params()
         mean, square = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         weight = np.where(y == 1, min(4.0, (len(y) - y.sum()) / max(y.sum(), 1)), 1.0)
         step, start = 0, self.e.copy()
@@ -184,50 +195,103 @@ class Network:
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> float:
-    """The middle of the gap at which F1 is largest; the largest such gap in a tie. ``weight``:
-    the rows that each entry stands for, one by default."""
+    """The middle of the gap at which F1 is largest, the largest such gap in a tie, among those whose
+    posterior precision passes PRECISION; else the middle between the largest score and 1.
+    ``weight``: the rows that each entry stands for, one by default."""
     order = np.argsort(-p, kind="stable")
     p, y = p[order], y[order]
     weight = np.ones(len(p)) if weight is None else weight[order]
-    right = np.cumsum(y * weight)
-    f1 = 2 * right / (np.cumsum(weight) + right[-1])
+    right, said = np.cumsum(y * weight), np.cumsum(weight)
     low = np.append(p[1:], 0.0)
-    f1[p == low] = -1
-    return float(np.clip(max(((f, a - b, (a + b) / 2) for f, a, b in zip(f1.round(4), p, low, strict=True)))[2], 0.02, 0.98))
+    base = right[-1] / said[-1]
+    some = np.flatnonzero((p != low) & ((right + DOUBT * base) / (said + DOUBT) > PRECISION))
+    if not len(some):
+        return float(np.clip((p[0] + 1) / 2, 0.02, 0.98))
+    f1 = (2 * right / (said + right[-1])).round(4)
+    return float(np.clip(max((f1[i], p[i] - low[i], (p[i] + low[i]) / 2) for i in some)[2], 0.02, 0.98))
 
 
 def bins(p: np.ndarray) -> np.ndarray:
     return np.minimum((p * SCORE_BINS).astype(int), SCORE_BINS - 1)
 
 
+def trained(k: int, texts: list[np.ndarray], y: np.ndarray) -> Network:
+    """Network ``k``, fitted without each NETWORKS-th row from the k-th on."""
+    fit = np.flatnonzero(np.arange(len(y)) % NETWORKS != k)
+    seen = [np.bincount(np.concatenate([np.unique(texts[i]) for i in fit if y[i] == j] or [np.zeros(0, int)]), minlength=BUCKETS + 1) for j in (0, 1)]
+    expected = (seen[0] + seen[1]) * (y[fit].mean() if len(fit) else 0.0)
+    net = Network(np.clip(((seen[1] - expected) / np.sqrt(expected + 1) - CHANCE) / 2, -1, 2))
+    net.train([texts[i] for i in fit], y[fit])
+    return net
+
+
+def trained_in_tasks(sample: DataFrame) -> list[Network]:
+    """The networks of ``sample`` (ids binary, y, place: its rows' order), each in a task of its
+    own, which holds the bounded sample."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("place")
+        net = trained(int(rows["net"].iloc[0]), [unpacked(b) for b in rows["ids"]], rows["y"].to_numpy(float))
+        to = io.BytesIO()
+        np.savez(to, *net.params())
+        return pd.DataFrame({"net": [int(rows["net"].iloc[0])], "params": [to.getvalue()]})
+
+    each = sample.select("ids", "y", "place", F.explode(F.array(*[F.lit(k) for k in range(NETWORKS)])).alias("net"))
+    nets = []
+    # NETWORKS rows of a fixed size
+    for row in sorted(each.groupBy("net").applyInPandas(run, "net int, params binary").collect()):
+        net = Network(np.zeros(BUCKETS + 1))
+        with np.load(io.BytesIO(row["params"])) as held:
+            for p, name in zip(net.params(), held.files, strict=True):
+                p[...] = held[name]
+        nets.append(net)
+    return nets
+
+
+def unpacked(ids: bytes) -> np.ndarray:
+    return np.frombuffer(ids, "<u2").reshape(-1, 1 + len(PREFIXES))
+
+
+def thresholds(counts: np.ndarray) -> np.ndarray:
+    """Thresholds by language from the numbers of rows by (language, label, score bin)."""
+    counts = np.asarray(counts, float)
+    middle = np.tile((np.arange(SCORE_BINS) + 0.5) / SCORE_BINS, 2)
+    label = np.repeat([0.0, 1.0], SCORE_BINS)
+    common = counts.sum(axis=0)
+    mixed = (counts + common * LEAN / max(common[1].sum(), 1)).reshape(len(counts), -1)
+    return np.array([best_threshold(middle[c > 0], label[c > 0], c[c > 0]) for c in mixed])
+
+
 class Model:
     """Trained networks and thresholds. Without both labels: a constant score.
 
-    ``part`` has the network that hasn't seen each row. Thresholds are of these rows, until
-    ``calibrate`` takes them from counts of all labelled rows.
+    ``part`` has the network that hasn't seen each row. The networks are trained and thresholds taken
+    from these rows where they are first asked for, if they weren't given before: ``learn`` sets
+    ``nets`` and lets ``calibrate`` take thresholds from counts of all labelled rows.
     """
 
     def __init__(self, texts: list[np.ndarray], y: np.ndarray):
-        self.constant = None
+        self.texts, self.y = texts, y
         self.part = np.arange(len(y)) % NETWORKS
-        if not len(y) or y.min() == y.max():
-            self.constant = float((y.sum() + 1) / (len(y) + 2))
-            return
-        found = [np.unique(t) for t in texts]
-        self.nets = []
-        for k in range(NETWORKS):
-            fit = np.flatnonzero(self.part != k)
-            seen = [np.bincount(np.concatenate([found[i] for i in fit if y[i] == j] or [np.zeros(0, int)]), minlength=BUCKETS + 1) for j in (0, 1)]
-            expected = (seen[0] + seen[1]) * (y[fit].mean() if len(fit) else 0.0)
-            net = Network(np.clip(((seen[1] - expected) / np.sqrt(expected + 1) - CHANCE) / 2, -1, 2))
-            net.train([texts[i] for i in fit], y[fit])
-            self.nets.append(net)
+        one = not len(y) or y.min() == y.max()
+        self.constant = float((y.sum() + 1) / (len(y) + 2)) if one else None
+
+    @functools.cached_property
+    def nets(self) -> list[Network]:
+        return [trained(k, self.texts, self.y) for k in range(NETWORKS)]
+
+    @functools.cached_property
+    def threshold(self) -> np.ndarray:
         counts, tables, table = np.zeros(COUNTS), [n.tables() for n in self.nets], language_table()
-        for at in range(0, len(texts), BATCH):  # few texts at once, as the maps are wide
-            some = texts[at : at + BATCH]
+        for at in range(0, len(self.texts), BATCH):  # few texts at once, as the maps are wide
+            some = self.texts[at : at + BATCH]
             ids, first = np.concatenate(some), np.concatenate(([0], np.cumsum([len(t) for t in some])))
-            np.add.at(counts, (languages(ids, first, table), y[at : at + BATCH].astype(int), bins(self.raw(ids, first, tables, self.part[at : at + BATCH]))), 1)
-        self.calibrate(counts)
+            np.add.at(counts, (languages(ids, first, table), self.y[at : at + BATCH].astype(int), bins(self.raw(ids, first, tables, self.part[at : at + BATCH]))), 1)
+        return thresholds(counts)
+
+    def calibrate(self, counts: np.ndarray) -> None:
+        """Takes thresholds from the numbers of rows by (language, label, score bin)."""
+        self.threshold = thresholds(counts)
 
     def raw(self, ids: np.ndarray, first: np.ndarray, tables: list, part: np.ndarray | None = None) -> np.ndarray:
         """Mean scores of the networks, or that of network ``part`` where it isn't -1."""
@@ -235,15 +299,6 @@ class Model:
         mean = each.mean(axis=0)
         return mean if part is None else np.where(part < 0, mean, each[part, np.arange(len(part))])
 
-    def calibrate(self, counts: np.ndarray) -> None:
-        """Thresholds by language from the numbers of rows by (language, label, score bin)."""
-        counts = np.asarray(counts, float)
-        middle = np.tile((np.arange(SCORE_BINS) + 0.5) / SCORE_BINS, 2)
-        label = np.repeat([0.0, 1.0], SCORE_BINS)
-        common = counts.sum(axis=0)
-        mixed = (counts + common * LEAN / max(common[1].sum(), 1)).reshape(len(counts), -1)
-        self.threshold = np.array([best_threshold(middle[c > 0], label[c > 0], c[c > 0]) for c in mixed])
-
     def scorer(self):
         if self.constant is not None:
             return lambda texts: np.full(len(texts), self.constant)
@@ -278,35 +333,53 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1)
     once = cut(rows.mapInArrow(run, "doc_id long, ids binary, y int").groupBy("doc_id", "y").agg(F.min("ids").alias("ids")))
     sizes = once.select("doc_id", F.octet_length("ids").alias("size"), F.xxhash64("doc_id").alias("h")).toPandas().sort_values(["h", "doc_id"])
     fits = sizes["doc_id"][sizes["size"].cumsum() <= FIT_BYTES]
-    some = once.join(F.broadcast(docs.sparkSession.createDataFrame(pd.DataFrame({"doc_id": fits.astype("int64")}), "doc_id long")), "doc_id").toPandas()
-    key = np.random.default_rng(3).permutation(len(some))
-    some = some.sort_values("doc_id").iloc[key]
-    model = Model([np.frombuffer(b, "<u2").reshape(-1, 1 + len(PREFIXES)) for b in some["ids"]], some["y"].to_numpy(float))
+    ids = fits.to_numpy(np.int64)[np.random.default_rng(3).permutation(len(fits))]
+    # FIT_ROWS small rows at most
+    places = F.broadcast(docs.sparkSession.createDataFrame(pd.DataFrame({"doc_id": ids, "place": np.arange(len(ids))}), "doc_id long, place long"))
+    sample = once.join(places, "doc_id")
+    some = sample.toPandas().sort_values("place")
+    model = Model([unpacked(b) for b in some["ids"]], some["y"].to_numpy(float))
     if model.constant is None:
-        model.calibrate(label_counts(docs.filter(fold("doc_id", folds) != held_out), known, model, some["doc_id"].to_numpy()))
+        model.nets, model.texts = trained_in_tasks(sample), []  # the model goes to the executors
+        model.calibrate(label_counts(docs.filter(fold("doc_id", folds) != held_out), known, model, ids))
     return model
 
 
+def id_filter(known: DataFrame) -> np.ndarray:
+    """Bits by the hash of an id, set for those of ``known``; of a fixed size."""
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    words = known.groupBy(F.shiftright(h, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (h % 64).cast("int"))).alias("b")).toPandas()
+    bits = np.zeros(FILTER_BITS >> 6, np.int64)
+    bits[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
+    return bits
+
+
 def label_counts(docs: DataFrame, known: DataFrame, model: Model, sampled: np.ndarray) -> np.ndarray:
     """The rows of ``docs`` with a label in ``known`` by (language, label, score bin). sampled: the
-    ids that the model was fitted on, in its order. Rows are scored where they lie; only their ids,
-    languages and bins meet the labels."""
+    ids that the model was fitted on, in its order. Rows are scored where they lie, if a filter of a
+    fixed size doesn't rule out that they have a label; only ids, languages and bins meet the
+    labels."""
     order = np.argsort(sampled)
     ids_of, part_of = sampled[order].astype(np.int64), model.part[: len(sampled)][order]
+    labelled_ids = id_filter(known)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, table = [n.tables() for n in model.nets], language_table()
-        for batch, texts in batches(it):
-            ids, first = buckets(texts)
-            own = np.array([-1 if i is None else i for i in batch.column(0).to_pylist()], np.int64)
-            part = np.full(len(own), -1)
-            if len(ids_of):
-                at = np.minimum(np.searchsorted(ids_of, own), len(ids_of) - 1)
-                part = np.where(ids_of[at] == own, part_of[at], -1)
-            cols = (languages(ids, first, table), bins(model.raw(ids, first, tables, part)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c.astype("i4")) for c in cols]], names=["doc_id", "lang", "bin"])
-
-    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang int, bin int").join(known, "doc_id")
+        for whole in it:
+            h = whole.column(2).to_numpy()
+            some = whole.filter(pa.array((labelled_ids[h >> 6] >> (h & 63)) & 1 == 1))
+            for batch, texts in batches(iter([some])):
+                ids, first = buckets(texts)
+                own = np.array([-1 if i is None else i for i in batch.column(0).to_pylist()], np.int64)
+                part = np.full(len(own), -1)
+                if len(ids_of):
+                    at = np.minimum(np.searchsorted(ids_of, own), len(ids_of) - 1)
+                    part = np.where(ids_of[at] == own, part_of[at], -1)
+                cols = (languages(ids, first, table), bins(model.raw(ids, first, tables, part)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c.astype("i4")) for c in cols]], names=["doc_id", "lang", "bin"])
+
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
+    found = keyed.mapInArrow(run, "doc_id long, lang int, bin int").join(known, "doc_id")
     counts = np.zeros(COUNTS)
     # a row for each cell of COUNTS at most
     for lang, y, at, n in found.groupBy("lang", "y", "bin").count().collect():
