@@ -27,6 +27,8 @@ from .packing import END_ID, blocks, encoder
 SCHEMA = "doc_id long, ids array<int>"
 #: Bytes of a stripe before compression, and rows between entries of the row index.
 STRIPE_BYTES, ROW_INDEX = 16 << 20, 1000
+#: Rows after which the writer looks whether a stripe is full; documents may be long.
+LOOK_ROWS = 100
 #: False hits that a Bloom filter may have.
 FALSE_HITS = 0.01
 
@@ -58,7 +60,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
     key = ["doc_id", "_t", "_h"]
     rows = docs.select(F.col("doc_id").cast("long"), "text").withColumns({"_t": F.xxhash64("text"), "_h": F.xxhash64(F.monotonically_increasing_id())})
     placed = rows.repartitionByRange(*key).sortWithinPartitions(*key)
-    options = {"compression": "zstd", "orc.stripe.size": stripe_bytes, "orc.row.index.stride": row_index, "orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": FALSE_HITS}
+    options = {"compression": "zstd", "orc.stripe.size": stripe_bytes, "orc.row.index.stride": row_index, "orc.rows.between.memory.checks": LOOK_ROWS, "orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": FALSE_HITS}
     encoded(placed, tokenizer, end_id).write.options(**{k: str(v) for k, v in options.items()}).orc(path)
 
 
