@@ -169,17 +169,6 @@ def uniform_random(rows: DataFrame, labels: int, seed: int = 42) -> DataFrame:
     return rows.withColumn("pred_id", F.floor(uniform("filename", seed=seed) * labels).cast("int"))
 
 
-def weighted_sample(rows: DataFrame, key: str, weight: str, draws: int | None = None, seed: int = 42) -> DataFrame:
-    """``draws`` rows (None: as many as there are) in expectation, with replacement: each row is
-    drawn as often as the whole numbers that its expected count, shifted by a hashed uniform,
-    passes. No global order. Expected counts are rounded, as sums depend on the layout."""
-    size = rows.agg(F.sum(weight).alias("weight_total"), (F.count(F.lit(1)) if draws is None else F.lit(draws)).alias("draws_total"))
-    expected = F.round(F.col(weight) / F.col("weight_total") * F.col("draws_total"), 9)
-    times = F.floor(expected + uniform(key, seed=seed)).cast("int")
-    some = rows.crossJoin(F.broadcast(size)).withColumn("times", times).filter("times > 0")
-    return some.withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("weight_total", "draws_total", "times")
-
-
 def early_stop(history: DataFrame, run: str, epoch: str, metric: str, patience: int) -> DataFrame:
     """Adds ``improved``, ``stale`` and ``stopped`` (an epoch after which training had ended)."""
     w = Window.partitionBy(run).orderBy(epoch)

@@ -2,13 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .persist import cut
+
 #: Vectors of one block of either side.
 BLOCK = 4096
+#: Cells of an index at most, vectors of one on average, and vectors that centres are fitted on.
+MOST_CELLS, CELL, FIT_ROWS = 2048, 1024, 32_768
+#: What rounding can add to a cosine, and to the angles of a bound.
+ROUNDING = 1e-5
+NEIGHBOURS = "query_id long, base_id long, cosine double"
+
+
+def unit(vectors: pd.Series) -> np.ndarray:
+    """Rows of length 1; of zero vectors, 0."""
+    v = np.array(vectors.tolist(), float).reshape(len(vectors), -1)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) if len(v) else v
+
+
+def _product(k: int):
+    """The k best of a block of base rows for each query in a block: one matrix product."""
+
+    def product(rows: pd.DataFrame) -> pd.DataFrame:
+        queries, base = (rows[rows["is_query"] == want].sort_values("id") for want in (True, False))
+        if queries.empty or base.empty:
+            return pd.DataFrame({"query_id": [], "base_id": [], "cosine": []})
+        c = np.round(unit(queries["vec"]) @ unit(base["vec"]).T, 6)
+        top = np.argsort(-c, axis=1, kind="stable")[:, :k]
+        return pd.DataFrame({"query_id": np.repeat(queries["id"].to_numpy(), top.shape[1]), "base_id": base["id"].to_numpy()[top].ravel(), "cosine": np.take_along_axis(c, top, 1).ravel()})
+
+    return product
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "base_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def cosine_topk(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
@@ -26,23 +60,96 @@ def cosine_topk(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
     (q, nq), (b, nb) = blocks(queries, "qb"), blocks(base, "bb")
     q = q.withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))).withColumn("is_query", F.lit(True))
     b = b.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).withColumn("is_query", F.lit(False))
+    return _ranked(q.unionByName(b).groupBy("qb", "bb").applyInPandas(_product(k), NEIGHBOURS), k)
 
-    def product(rows: pd.DataFrame) -> pd.DataFrame:
-        def side(want: bool) -> tuple[np.ndarray, np.ndarray]:
-            some = rows[rows["is_query"] == want].sort_values("id")
-            v = np.array(some["vec"].tolist(), float).reshape(len(some), -1)
-            return some["id"].to_numpy(), v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) if len(some) else v
 
-        (qi, qv), (bi, bv) = side(True), side(False)
-        if not len(qi) or not len(bi):
-            return pd.DataFrame({"query_id": [], "base_id": [], "cosine": []})
-        c = np.round(qv @ bv.T, 6)
-        top = np.argsort(-c, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"query_id": np.repeat(qi, top.shape[1]), "base_id": bi[top].ravel(), "cosine": np.take_along_axis(c, top, 1).ravel()})
+class CellIndex:
+    """An inverted file over unit vectors whose search is exact.
 
-    found = q.unionByName(b).groupBy("qb", "bb").applyInPandas(product, "query_id long, base_id long, cosine double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "base_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+    Vectors lie in the cell of the nearest of some centres, which are fitted on FIT_ROWS vectors at
+    most; every vector is in a cell. A cell's radius is the largest angle between its centre and its
+    vectors, so none of them is nearer to a query than the angle to the centre less the radius. A
+    search takes the k-th cosine within the query's own cell and then looks only into cells that can
+    reach it. Cells are cut into blocks, so a cell with a third of all vectors is many tasks.
+    """
+
+    def __init__(self, base: DataFrame, cells: int | None = None):
+        rows = base.filter("vec is not null").select(F.col("id").cast("long").alias("id"), "vec")
+        n = rows.count()
+        self.n = n
+        some = rows.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).toPandas()
+        self.centres = fit_centres(unit(some["vec"]), min(MOST_CELLS, max(1, n // CELL) if cells is None else cells))
+        self.rows = cut(self._placed(rows))
+        # a row for each of MOST_CELLS cells at most
+        facts = self.rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).toPandas()
+        self.size, self.radius = np.zeros(len(self.centres), int), np.full(len(self.centres), -np.inf)
+        self.size[facts["cell"]], self.radius[facts["cell"]] = facts["n"], facts["radius"]
+
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        centres = self.centres
+
+        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for some in it:
+                c = np.clip(unit(some["vec"]) @ centres.T, -1, 1) if len(some) else np.zeros((0, 1))
+                yield some.assign(cell=c.argmax(axis=1), angle=np.arccos(c.max(axis=1, initial=-1)))
+
+        return rows.mapInPandas(run, f"id long, vec {rows.schema['vec'].dataType.simpleString()}, cell int, angle double")
+
+    def _compared(self, pairs: DataFrame, k: int) -> DataFrame:
+        """The k best in a cell for ``pairs`` (id, vec, cell). Both sides of a cell are cut into
+        blocks, every pair of which is a task's work."""
+        size = F.array(*[F.lit(max(1, -(-int(n) // BLOCK))) for n in self.size])
+        # a row for each cell at most
+        asked = F.broadcast(pairs.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_parts")))
+        part = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        some, base = (d.select("id", "vec", "cell").join(asked, "cell").withColumn("_size", F.get(size, F.col("cell"))) for d in (pairs, self.rows))
+        q = some.withColumn("qb", part(F.col("_parts"))).withColumn("bb", every(F.col("_size"))).withColumn("is_query", F.lit(True))
+        b = base.withColumn("bb", part(F.col("_size"))).withColumn("qb", every(F.col("_parts"))).withColumn("is_query", F.lit(False))
+        return q.unionByName(b).drop("_parts", "_size").groupBy("cell", "qb", "bb").applyInPandas(_product(k), NEIGHBOURS)
+
+    def _others(self, asked: DataFrame) -> DataFrame:
+        """(id, vec, cell): the cells besides its own that can hold one of the k nearest of a query,
+        from (id, vec, cell, least), where ``least`` is the k-th cosine that it has found."""
+        centres, radius, filled = self.centres, self.radius, self.size > 0
+
+        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for some in it:
+                angle = np.arccos(np.clip(unit(some["vec"]) @ centres.T, -1, 1)) if len(some) else np.zeros((0, len(centres)))
+                most = np.cos(np.clip(angle - np.where(filled, radius, 0) - ROUNDING, 0, np.pi))
+                reach = filled & (most >= some["least"].to_numpy()[:, None] - ROUNDING)
+                reach[np.arange(len(some)), some["cell"]] = False
+                at, cell = np.nonzero(reach)
+                yield pd.DataFrame({"id": some["id"].to_numpy()[at], "vec": some["vec"].to_numpy()[at], "cell": cell.astype("int32")})
+
+        return asked.mapInPandas(run, f"id long, vec {asked.schema['vec'].dataType.simpleString()}, cell int")
+
+    def search(self, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+        """The same rows as ``cosine_topk``, and the (id, cell) that were compared for them. Query
+        ids are distinct; null vectors find nothing and aren't found."""
+        if not self.n:
+            none = queries.sparkSession.createDataFrame([], NEIGHBOURS)
+            return _ranked(none, k), none.select(F.col("query_id").alias("id"), F.lit(0).alias("cell"))
+        asked = cut(self._placed(queries.filter("vec is not null").select(F.col("id").cast("long").alias("id"), "vec")))
+        near = cut(_ranked(self._compared(asked, k), k))
+        least = near.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("cosine").alias("least"))
+        others = cut(self._others(asked.join(least, "id", "left").select("id", "vec", "cell", F.coalesce("least", F.lit(-2.0)).alias("least"))))
+        far = self._compared(others, k)
+        return _ranked(near.drop("rank").unionByName(far), k), asked.select("id", "cell").unionByName(others.select("id", "cell"))
+
+
+def fit_centres(v: np.ndarray, cells: int, steps: int = 6) -> np.ndarray:
+    """Unit centres by spherical k-means from evenly taken rows; without rows one zero centre."""
+    if not len(v):
+        return np.zeros((1, max(v.shape[1], 1)))
+    centres = v[np.linspace(0, len(v) - 1, min(cells, len(v))).astype(int)]
+    for _ in range(steps):
+        own = (v @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, v)
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(length > 1e-9, sums / np.maximum(length, 1e-9), centres)
+    return centres
 
 
 def overlap_status(cosine: Column, same_group: Column, likely: float, possible: float) -> Column:

@@ -12,6 +12,7 @@ from ..operators import metrics as M
 from ..operators import postproc as P
 from ..operators.manifest import positions
 from ..operators.persist import cut
+from ..operators.sampling import weighted_sample as weighted_sample_of
 from .fixtures import CLASS_SQL, LABELS, MAJORITY, PRED2_SQL, PRED_SQL, pred, pred2, sql, table
 
 N = len(LABELS)
@@ -212,17 +213,29 @@ def scene_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.rounded(P.scene_weights(pred(spark, sf_dir), "true_id", MAJORITY, "group_id").select("event_id", "weight"))
 
 
-@query(
-    sql(
-        PRED_SQL, "weighted AS (SELECT true_id, filename, pow((count(*) OVER (PARTITION BY true_id))::DOUBLE, -1.0) AS weight FROM pred)",
-        f"times AS (SELECT true_id, floor(round(weight / (sum(weight) OVER ()) * (count(*) OVER ()), 9) + {UNIFORM_SQL})::BIGINT AS times FROM weighted)",
-        body="SELECT true_id, sum(times)::BIGINT AS draws FROM times WHERE times > 0 GROUP BY 1",
-    )
-)
+LINE_SQL = (
+    "line AS (SELECT filename, true_id, units, sum(units) OVER (ORDER BY filename) - units AS low FROM (SELECT *, greatest(1, round(weight / max(weight) OVER () * 16777216))::BIGINT AS units FROM (SELECT filename, true_id, pow((count(*) OVER (PARTITION BY true_id))::DOUBLE, -1.0) AS weight FROM pred)))",
+    "points AS (SELECT draw, (('0x' || substr(h, 1, 15))::BIGINT::HUGEINT * 1152921504606846976 + ('0x' || substr(h, 16, 15))::BIGINT) % (SELECT sum(units) FROM line)::HUGEINT AS point FROM (SELECT i AS draw, md5('42:' || i) AS h FROM (SELECT unnest(range((SELECT count(*) FROM pred))) AS i)))",
+    "drawn AS (SELECT draw, filename, true_id FROM points ASOF JOIN line ON points.point >= line.low)",
+)
+
+
+def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = P.power_weights(pred(spark, sf_dir), "true_id", 1.0).select("filename", "true_id", "weight")
+    return weighted_sample_of(rows, "filename", "weight")
+
+
+@query(sql(PRED_SQL, *LINE_SQL, body="SELECT true_id, count(*) AS draws, count(DISTINCT filename) AS files FROM drawn GROUP BY 1"))
 def weighted_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As many draws as rows, by weight."""
-    rows = P.power_weights(pred(spark, sf_dir), "true_id", 1.0)
-    return P.weighted_sample(rows, "filename", "weight").groupBy("true_id").agg(F.count(F.lit(1)).alias("draws"))
+    """As many draws as rows, with replacement, by weight: draws and files of each class."""
+    n = _drawn(spark, sf_dir).groupBy("true_id", "filename").agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy("true_id").agg(F.sum("n").alias("draws"), F.count(F.lit(1)).alias("files"))
+
+
+@query(sql(PRED_SQL, *LINE_SQL, body="SELECT draw, filename FROM drawn"))
+def weighted_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of these draws hit."""
+    return _drawn(spark, sf_dir).select("draw", "filename")
 
 
 OTHER = f"(list_position(list_transform(probs, lambda x, i: CASE WHEN i = {MAJORITY + 1} THEN -1.0 ELSE x END), list_max(list_transform(probs, lambda x, i: CASE WHEN i = {MAJORITY + 1} THEN -1.0 ELSE x END))) - 1)::INT"

@@ -445,6 +445,14 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top(spark, sf_dir).select("query_id", F.col("rank").cast("long").alias("rank"), "base_id", F.round("cosine", 4).alias("cosine"))
 
 
+@query(sql(TOP_SQL, body="SELECT query_id, rank, base_id, round(cosine, 4) AS cosine FROM top"))
+def nearest_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The neighbours of ``cosine_topk`` by an index whose bounds are exact."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    found, _ = S.CellIndex(rows.filter("id % 5 <> 0")).search(rows.filter("id % 5 = 0"), 5)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "base_id", F.round("cosine", 4).alias("cosine"))
+
+
 @query(sql(TOP_SQL, "s AS (SELECT query_id, base_id, rank, round((cosine + least(((base_id % 10) + 1) / 8.0, 1.0)) / 2, 6) AS score FROM top)", body="SELECT query_id, base_id, round(score, 4) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) = 1"))
 def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _top(spark, sf_dir).withColumn("ratio", (F.col("base_id") % 10 + 1) / 8.0)

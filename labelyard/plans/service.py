@@ -63,6 +63,38 @@ def water_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.water_mask(pixels(spark, sf_dir), F.col("green"), 0.15, 3)
 
 
+PAIR_SQL = "two AS (SELECT id, tile, row, col, CASE WHEN col * (tile % 4 + 1) >= 64 THEN green END AS before, nir AS after FROM px)"
+
+
+def _two_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bands as two times; of a quarter of the tiles the first has no value, of others some."""
+    rows = pixels(spark, sf_dir)
+    seen = F.col("col") * (F.col("tile") % 4 + 1) >= 64
+    return rows.select("id", "tile", "row", "col", F.when(seen, F.col("green")).alias("before"), F.col("nir").alias("after"))
+
+
+@query(sql(PIXEL_SQL, PAIR_SQL, body="SELECT tile, pixels, valid, round(valid / pixels, 6) AS coverage, CASE WHEN valid / pixels < 0.5 THEN 'rejected' WHEN valid / pixels < 0.7 THEN 'low_quality' ELSE 'normal' END AS level FROM (SELECT tile, count(*) AS pixels, count(before) AS valid FROM two GROUP BY 1)"))
+def tile_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = T.coverage(_two_times(spark, sf_dir), "tile", F.col("before").isNotNull() & F.col("after").isNotNull())
+    return rows.withColumn("coverage", F.round("coverage", 6))
+
+
+@query(
+    sql(
+        PIXEL_SQL, PAIR_SQL, "good AS (SELECT tile, CASE WHEN count(before) / count(*) < 0.7 THEN 'low_quality' ELSE 'normal' END AS level FROM two GROUP BY 1 HAVING count(before) / count(*) >= 0.5)",
+        "ch AS (SELECT id, tile, row, col, level, CASE WHEN before <= 0 AND after > 0 THEN 'gain' WHEN before > 0 AND after <= 0 THEN 'loss' END AS change FROM two JOIN good USING (tile) WHERE before IS NOT NULL AND after IS NOT NULL)",
+        "wet AS (SELECT * FROM ch WHERE change IS NOT NULL)", "edge AS (SELECT a.id AS a, b.id AS b FROM wet a JOIN wet b ON a.tile = b.tile AND a.change = b.change AND abs(a.row - b.row) + abs(a.col - b.col) = 1)",
+        "reach AS (SELECT id AS a, id AS b FROM wet UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a)", "comp AS (SELECT a AS id, min(b) AS component FROM reach GROUP BY 1)",
+        "inner_sides AS (SELECT a AS id, count(*) AS n FROM edge GROUP BY 1)",
+        body="SELECT component, tile, change, count(*) AS pixels, (4 * count(*) - sum(coalesce(n, 0)))::BIGINT AS edges, count(*) * 100.0::DOUBLE AS area, (4 * count(*) - sum(coalesce(n, 0))) * 10.0::DOUBLE AS length, level FROM wet JOIN comp USING (id) LEFT JOIN inner_sides USING (id) GROUP BY ALL HAVING count(*) * 100 >= 500",
+    )
+)
+def change_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas and outline lengths of gains and losses between two times, on a grid of 10 metres."""
+    found, _ = T.change_polygons(_two_times(spark, sf_dir), F.col("before"), F.col("after"), 0.0, 10.0)
+    return found.select("component", "tile", "change", "pixels", "edges", "area", "length", "level")
+
+
 @query(sql(PIXEL_SQL, body="SELECT tile, col, round(median(green), 6) AS green FROM px GROUP BY ALL"))
 def median_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Medians by rank, as a window of a hot tile may hold more values than a task's memory."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -64,23 +65,26 @@ def counts(events: DataFrame, late: str = "1 hour", width: str = "15 minutes", s
 
 def upsert_alerts(batch: DataFrame, _: int, path: str, days: int = 7) -> None:
     """For foreachBatch: alerts of a batch beside those in a Parquet folder, partitioned by the day
-    of ``created_at``. An id is not repeated within ``days`` before and after; only these days of
-    the folder are read. Alerts without a time lie together and are compared among themselves."""
-    spark = batch.sparkSession
-    day = F.to_date("created_at")
-    fresh = as_alerts(batch).withColumn("day", day)
+    of ``created_at``. An id is not repeated within ``days`` before and after; only these days'
+    folders are read, by a filter on the partition column. Alerts without a time lie in a folder of
+    their own and are compared among themselves."""
+    fresh = as_alerts(batch).withColumn("day", F.to_date("created_at"))
+    known = near_alerts(fresh, path, days)
+    if known is not None:
+        fresh = fresh.join(known.select("alert_id"), "alert_id", "left_anti").select(*fresh.columns)
+    fresh.write.mode("append").partitionBy("day").parquet(path)
+
+
+def near_alerts(fresh: DataFrame, path: str, days: int) -> DataFrame | None:
+    """The alerts of the folder whose day is near one of ``fresh``; None if there is no folder."""
     try:
-        known = spark.read.schema(fresh.schema).parquet(path)
+        known = fresh.sparkSession.read.schema(fresh.schema).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        known = None
-    if known is not None:
-        # at most the days of a batch
-        own = fresh.select("day").distinct()
-        near = own.filter("day is not null").select(F.explode(F.sequence(F.date_sub("day", days), F.date_add("day", days))).alias("day")).distinct()
-        near = near.unionByName(own.filter("day is null"))
-        same = F.col("day").eqNullSafe(F.col("near_day"))
-        known = known.join(F.broadcast(near.select(F.col("day").alias("near_day"))), same, "left_semi")
-        fresh = fresh.join(known.select("alert_id"), "alert_id", "left_anti").select(*fresh.columns)
-    fresh.write.mode("append").partitionBy("day").parquet(path)
+        return None
+    # a value for each day of the calendar that a batch has
+    own = [r["day"] for r in fresh.select("day").distinct().collect()]
+    near = sorted({d + timedelta(days=k) for d in own if d is not None for k in range(-days, days + 1)})
+    dated = F.col("day").isin(near) if near else F.lit(False)
+    return known.filter(dated | F.col("day").isNull() if None in own else dated)
