@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,8 +43,18 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in pc.cast(column, pa.large_binary()).to_pylist()]
 
 
+def give_back() -> None:
+    """Returns memory that isn't used to the system. A worker process lives on when its task ends,
+    and what its allocators keep counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def batches(it: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with at most CHUNK_BYTES of text (one row at least), with that text."""
+    """Slices of the batches with at most CHUNK_BYTES of text (one row at least), with that text.
+    Behind the last one, memory is given back."""
     for batch in it:
         texts = as_bytes(batch.column(batch.schema.get_field_index(column)))
         start, held = 0, 0
@@ -54,6 +65,8 @@ def batches(it: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tupl
             held += len(t)
         if start < len(texts):
             yield batch.slice(start), texts[start:]
+        batch = texts = None
+    give_back()
 
 
 class Words:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, give_back
 
 CAPACITY = 4096
 END_ID = 1
@@ -154,7 +154,8 @@ def encoder(path: str) -> WordEncoder:
 
 
 def blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches put together up to BLOCK_BYTES, as a block's distinct words are looked up once."""
+    """Batches put together up to BLOCK_BYTES, as a block's distinct words are looked up once. Behind
+    the last one, memory is given back."""
     held: list[pa.RecordBatch] = []
     for batch in it:
         if held and sum(b.nbytes for b in held) + batch.nbytes > BLOCK_BYTES:
@@ -163,6 +164,8 @@ def blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.append(batch)
     if held:
         yield pa.concat_batches(held)
+    held, batch = [], None
+    give_back()
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, batches, cut, fold, kept_rows, labelled, sigmoid
+from .common import Words, batches, cut, fold, give_back, kept_rows, labelled, sigmoid
 
 #: Labelled rows that a model is fitted on, at most (half of them toxic, if there are as many).
 FIT_ROWS = 6_000
@@ -234,7 +234,10 @@ def trained_in_tasks(sample: DataFrame) -> list[Network]:
         net = trained(int(rows["net"].iloc[0]), [unpacked(b) for b in rows["ids"]], rows["y"].to_numpy(float))
         to = io.BytesIO()
         np.savez(to, *net.params())
-        return pd.DataFrame({"net": [int(rows["net"].iloc[0])], "params": [to.getvalue()]})
+        done = pd.DataFrame({"net": [int(rows["net"].iloc[0])], "params": [to.getvalue()]})
+        del rows, net
+        give_back()
+        return done
 
     each = sample.select("ids", "y", "place", F.explode(F.array(*[F.lit(k) for k in range(NETWORKS)])).alias("net"))
     nets = []
