@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.hot import join_split
-from ..operators.persist import cut, written
+from ..operators.persist import cut, remove, written
 
 #: A word is a run of other characters than these.
 WHITE = " \t\n\x0b\x0c\r"
@@ -31,8 +31,11 @@ VECTOR = ("x1", "x2", "x3", "x4")
 SHARE = 0.75
 #: Cells of the grid in a unit of a coordinate.
 GRID = 64
-#: Concentration steps end when no determinant falls by this share, after MOST_STEPS in any case.
-FALL, MOST_STEPS = 1e-6, 50
+#: Concentration steps end when no determinant falls by this share. A determinant can't fall below
+#: that of the least spreads, so they do end.
+FALL = 1e-6
+#: Bins of a distance in a unit, and the bin of all distances beyond.
+BINS, MOST_BINS = 16, 4096
 #: Squared distance beyond which a row fails: 4 degrees of freedom, probability 1e-6.
 LIMIT = 33.38
 #: 0.75 / P(chi2 with 6 degrees <= the 0.75 quantile of 4): makes the estimate consistent.
@@ -144,23 +147,31 @@ def _estimated(part: DataFrame, *keys: str) -> DataFrame:
 
 
 def _nearest(grid: DataFrame, order: Column, *keys: str) -> DataFrame:
-    """The cells with ``take``: of each key's rows the first three quarters by ``order``, ties by
-    cell; a cell may count in part. A window sees a key's cells, not its rows."""
-    w = Window.partitionBy(*keys).orderBy("_o", *CELL)
-    some = grid.withColumn("_o", order).withColumn("_before", F.sum("n").over(w) - F.col("n"))
-    half = F.ceil(SHARE * F.sum("n").over(Window.partitionBy(*keys)))
-    return some.withColumn("take", F.least(F.col("n"), half - F.col("_before"))).filter("take > 0").drop("_o", "_before")
+    """The cells with ``take``: of each key's rows the first three quarters by ``order``, which isn't
+    negative, ties by cell; a cell may count in part.
+
+    Rows are counted by bins of ``order`` first. Only the bin in which the quarter ends is put in
+    order, so no window sees all cells of a key.
+    """
+    some = grid.withColumn("_o", order).withColumn("_b", F.least(F.floor(F.col("_o") * BINS), F.lit(MOST_BINS)).cast("int"))
+    each, up = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_b")
+    bins = some.groupBy(*keys, "_b").agg(F.sum("n").alias("_n")).withColumn("_c", F.sum("_n").over(up)).withColumn("_half", F.ceil(SHARE * F.sum("_n").over(each)))
+    ends = bins.filter((F.col("_c") >= F.col("_half")) & (F.col("_c") - F.col("_n") < F.col("_half"))).select(*keys, F.col("_b").alias("_end"), (F.col("_half") - F.col("_c") + F.col("_n")).alias("_left"))
+    near = some.join(ends, list(keys)).filter(F.col("_b") <= F.col("_end"))
+    last = near.filter(F.col("_b") == F.col("_end")).withColumn("_before", F.sum("n").over(Window.partitionBy(*keys).orderBy("_o", *CELL)) - F.col("n"))
+    own = grid.columns
+    whole = near.filter(F.col("_b") < F.col("_end")).select(*own, F.col("n").alias("take"))
+    return whole.unionByName(last.withColumn("take", F.least(F.col("n"), F.col("_left") - F.col("_before"))).filter("take > 0").select(*own, "take"))
 
 
 def starts(grid: DataFrame) -> DataFrame:
     """(key, start, estimate): of the rows nearest to the medians by the largest and by the summed
     deviation in units of least spreads and median deviations, and of all rows."""
-    total = F.sum("n").over(Window.partitionBy("key"))
 
     def middle(rows: DataFrame, value: Column, name: str) -> DataFrame:
-        """(key, name): the lower median of a value of cells."""
-        w = Window.partitionBy("key").orderBy("_v")
-        some = rows.withColumn("_v", value).withColumn("_c", F.sum("n").over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("_t", total)
+        """(key, name): the lower median of a coordinate of cells. A window sees its values."""
+        some = rows.groupBy("key", value.alias("_v")).agg(F.sum("n").alias("n"))
+        some = some.withColumn("_c", F.sum("n").over(Window.partitionBy("key").orderBy("_v"))).withColumn("_t", F.sum("n").over(Window.partitionBy("key")))
         return some.filter(2 * F.col("_c") >= F.col("_t")).groupBy("key").agg(F.min("_v").alias(name))
 
     off = grid
@@ -183,15 +194,15 @@ def robust(grid: DataFrame) -> DataFrame:
     """(key, n, MEAN..., COVARIANCE..., log_det) of each key of ``cells``."""
     grid = written(grid)
     estimate = starts(grid)
-    for _ in range(MOST_STEPS):
+    falls = True
+    while falls:
         far = grid.join(estimate, "key")
         part = _nearest(far.select("key", "start", *CELL, "n", F.round(_distance([F.col(q) / GRID for q in CELL]), 9).alias("d")), F.col("d"), "key", "start")
         new = written(_estimated(part, "key", "start"))
         old = estimate.select("key", "start", F.col("log_det").alias("old"))
         falls = not new.join(old, ["key", "start"]).filter(F.col("log_det") < F.col("old") - FALL).isEmpty()
+        remove(estimate)
         estimate = new
-        if not falls:
-            break
     best = estimate.groupBy("key").agg(F.min_by(F.struct(*MEAN, *COVARIANCE, "log_det"), F.struct("log_det", "start")).alias("e"))
     return best.join(grid.groupBy("key").agg(F.sum("n").alias("n")), "key").select("key", "n", "e.*")
 
