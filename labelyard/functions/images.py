@@ -71,6 +71,39 @@ def thumbnail(image: Column | str, height: int = 36, width: int = 48) -> Column:
     return run(image)
 
 
+def turned(x: np.ndarray, orientation: int) -> np.ndarray:
+    """Rows x columns (x channels) as they are seen upright, from an EXIF orientation of 1 to 8."""
+    if orientation >= 5:
+        x = np.swapaxes(x, 0, 1)
+    if orientation in (3, 4, 7, 8):
+        x = x[::-1]
+    if orientation in (2, 3, 6, 7):
+        x = x[:, ::-1]
+    return x
+
+
+def upright_rgb(image: Column | str, orientation: Column | str) -> Column:
+    """(height, width, data) of an image struct, turned upright by its EXIF orientation, as rows of
+    red, green and blue bytes; grey is repeated and transparency left out. Null where it can't be
+    decoded; a null orientation is 1."""
+
+    @F.pandas_udf("height int, width int, data binary")
+    def run(parts: Iterator[tuple[pd.DataFrame, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for p, o in parts:
+            rows = []
+            for d, h, w, c, turn in zip(p["data"], p["height"], p["width"], p["nChannels"], o, strict=True):
+                if not w or w <= 0:
+                    rows.append((None, None, None))
+                    continue
+                x = np.frombuffer(d, np.uint8).reshape(h, w, c)
+                x = np.repeat(x, 3, axis=2) if c == 1 else x[:, :, 2::-1]
+                x = turned(x, 1 if pd.isna(turn) else int(turn))
+                rows.append((x.shape[0], x.shape[1], x.tobytes()))
+            yield pd.DataFrame(rows, columns=["height", "width", "data"]).astype({"height": "Int32", "width": "Int32"})
+
+    return run(image, orientation)
+
+
 def hash_to_long(hex16: Column | str) -> Column:
     """16 hex digits as a signed long."""
     return F.conv(hex16, 16, -10).cast("bigint")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,6 +33,24 @@ def frame_key(frame: Column, name: Column) -> Column:
     return F.coalesce(frame.try_cast("double").try_cast("bigint"), digits, F.lit(LAST_FRAME))
 
 
+def frame_number(frame: Column, name: Column) -> Column:
+    """The frame as a whole number, else the stem of the name as one; a row that has neither fails
+    the job and is named."""
+    number = F.coalesce(F.trim(frame.cast("string")).try_cast("bigint"), F.regexp_extract(name, r"([^/]*?)([.][^./]*)?$", 1).try_cast("bigint"))
+    return F.coalesce(number, F.raise_error(F.concat(F.lit("no frame number: "), F.coalesce(name, F.lit("null")))).cast("bigint"))
+
+
+def casefold(name: Column | str) -> Column:
+    """``name`` without case by the full folding of Unicode, as sorting and comparing file names
+    takes it; Spark's lower() keeps letters apart that only folding joins."""
+
+    @F.pandas_udf("string")
+    def run(names: pd.Series) -> pd.Series:
+        return names.str.casefold()
+
+    return run(name)
+
+
 def encode(label: Column | str, labels: Sequence[str]) -> Column:
     """Place (from 0) of the label, null if it isn't one."""
     value = F.col(label) if isinstance(label, str) else label

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hot import join_split, key_counts
+from .hot import join_split, key_counts, part_rows
 from .manifest import positions
-from .persist import cut, written
+from .persist import cut, remove, written
+
+
+def _joined(rows: DataFrame, table: DataFrame, key: str, by: str, hot: bool, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    return join_split(rows, table, key, by=by, how=how, counts=counts) if hot else rows.join(table, key, how)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,28 +19,41 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hooks every id to its smallest neighbour, follows hooks to their roots by doubling
     steps, and contracts the edges to roots. A chain takes one round and as many doublings as its
-    length has bits, a star two rounds at most. A root with many ids is split in joins.
+    length has bits, a star two rounds at most. Ids with many neighbours, and roots with many ids,
+    are split in joins; whether there are any comes with the counts that end the doubling. A table
+    is deleted when the next one replaces it.
     """
     edges = written(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     found = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("a").alias("b"), F.col("b").alias("a")))
-        hook = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("up")))
+        hook = table = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("up"), F.count(F.lit(1)).alias("n")))
+        degree, ends, ids = hook.agg(F.max("n"), F.sum("n"), F.count(F.lit(1))).first()
+        many = degree > part_rows(ends // 2)
+        fan = degree  # ids that hook to the same one are its neighbours
         while True:
             above = hook.select(F.col("id").alias("up"), F.col("up").alias("top"))
-            step = written(join_split(hook, above, "up", by="id").select("id", "up", "top"))
-            hook = step.select("id", F.col("top").alias("up"))
-            if step.filter("up <> top").isEmpty():
+            step = written(_joined(hook.select("id", "up"), above, "up", "id", fan > part_rows(ids)).select("id", "up", "top"))
+            moved, fan = step.groupBy("top").agg(F.count_if(F.col("up") != F.col("top")).alias("moved"), F.count(F.lit(1)).alias("n")).agg(F.sum("moved"), F.max("n")).first()
+            remove(table)
+            hook, table = step.select("id", F.col("top").alias("up")), step
+            if not moved:
                 break
         one = hook.select(F.col("id").alias("a"), F.col("up").alias("ua"))
         two = hook.select(F.col("id").alias("b"), F.col("up").alias("ub"))
-        ends = join_split(join_split(edges, two, "b", by="a"), one, "a", by="b", counts=key_counts(edges, "a"))
-        edges = written(ends.filter("ua <> ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct())
+        left = _joined(_joined(edges, two, "b", "a", many), one, "a", "b", many, counts=key_counts(edges, "a") if many else None)
+        fewer = written(left.filter("ua <> ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct())
+        remove(edges)
+        edges = fewer
         if found is None:
-            found = hook.select("id", F.col("up").alias("component"))
+            found, kept = hook.select("id", F.col("up").alias("component")), table
         else:
             above = hook.select(F.col("id").alias("component"), F.col("up").alias("top"))
-            found = written(join_split(found, above, "component", by="id", how="left").select("id", F.coalesce("top", "component").alias("component")))
+            # ids of one component are those that came together before
+            again = written(join_split(found, above, "component", by="id", how="left").select("id", F.coalesce("top", "component").alias("component")))
+            remove(table)
+            remove(kept)
+            found, kept = again, again
     return found if found is not None else edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
 
 

@@ -16,6 +16,11 @@ def key_counts(rows: DataFrame, key: str) -> DataFrame:
     return rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
 
 
+def part_rows(total: int) -> int:
+    """Rows of one part; a key with more is hot."""
+    return max(total // SHARES, LEAST)
+
+
 def join_split(rows: DataFrame, table: DataFrame, key: str, by: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """``rows`` joined (inner or left) with ``table``, which has few rows for each key.
 
@@ -24,7 +29,7 @@ def join_split(rows: DataFrame, table: DataFrame, key: str, by: str, how: str =
     of rows (key, n), where they are known. Rows with a null key match nothing and aren't moved.
     """
     counts = key_counts(rows, key) if counts is None else counts
-    share = max((counts.agg(F.sum("n")).first()[0] or 0) // SHARES, LEAST)
+    share = part_rows(counts.agg(F.sum("n")).first()[0] or 0)
     # fewer than SHARES rows
     hot = F.broadcast(counts.filter(F.col("n") > share).select(F.col(key).alias("_hot"), F.ceil(F.col("n") / share).cast("int").alias("_parts")))
     parts = F.coalesce("_parts", F.lit(1))

@@ -33,3 +33,13 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(df: DataFrame) -> None:
+    """Deletes the table that ``written`` made for ``df``, which nothing may read any more."""
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for folder in folders:
+        if not folder.rsplit("/", 1)[1].startswith("table-"):
+            raise ValueError(f"{folder} isn't a written table")
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

@@ -32,6 +32,17 @@ def changes(rows: DataFrame) -> DataFrame:
     return rows.filter("changed").groupBy("label", "new_label").agg(F.count(F.lit(1)).alias("n"))
 
 
+def passthrough(labels: DataFrame, decisions: DataFrame, version: str) -> tuple[DataFrame, DataFrame]:
+    """A label version that takes no decision: the labels (filename, label) as they are, with
+    ``label_version``, and its audit of one row: records, decisions, decisions that would have
+    changed a label, and labels changed, which are none."""
+    rows = labels.withColumn("label_version", F.lit(version))
+    waiting = labels.join(decisions.select("filename", "reviewed_label"), "filename", "left")
+    would = F.coalesce(F.col("reviewed_label") != F.col("label"), F.lit(False))
+    audit = waiting.agg(F.lit(version).alias("label_version"), F.count(F.lit(1)).alias("records"), F.count("reviewed_label").alias("decisions"), F.count_if(would).alias("not_applied"), F.lit(0).cast("long").alias("changed"))
+    return rows, audit
+
+
 def change_impact(official: Column, reviewed: Column, pred: Column) -> Column:
     """What a changed label does to a prediction."""
     before, after = pred == official, pred == reviewed

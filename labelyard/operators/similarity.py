@@ -22,8 +22,10 @@ NEIGHBOURS = "query_id long, base_id long, cosine double"
 
 def unit(vectors: pd.Series) -> np.ndarray:
     """Rows of length 1; of zero vectors, 0."""
+    if not len(vectors):
+        return np.zeros((0, 1))
     v = np.array(vectors.tolist(), float).reshape(len(vectors), -1)
-    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) if len(v) else v
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
 
 def _product(k: int):

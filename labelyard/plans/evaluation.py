@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import names, vectors
 from ..operators import metrics as M
 from ..operators import postproc as P
+from ..operators.learn import moments, out_of_fold
 from ..operators.manifest import positions
 from ..operators.persist import cut
 from ..operators.sampling import weighted_sample as weighted_sample_of
@@ -503,11 +504,23 @@ def scatter_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.rounded(every.join(known, ["fold", "class_id"], "left").select("fold", "class_id", F.coalesce("p", F.lit(0.0)).alias("p")))
 
 
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("id"), (F.col("vec_id") % 4).cast("int").alias("fold"), F.col("label").alias("true_id"), F.col("embedding").alias("features"))
+
+
 @query()
 def frozen_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-fold predictions of a logistic regression on fixed features; no SQL."""
-    from ..operators.learn import out_of_fold
+    """Out-of-fold predictions of a softmax regression on fixed features; no SQL."""
+    return out_of_fold(_features(spark, sf_dir), 10).select("id", "fold", "true_id", "pred_id")
 
-    e = table(spark, sf_dir, "embeddings")
-    rows = e.select(F.col("vec_id").alias("id"), (F.col("vec_id") % 4).cast("int").alias("fold"), F.col("label").alias("true_id"), F.col("embedding").alias("features"))
-    return out_of_fold(rows)
+
+@query(
+    "WITH x AS (SELECT (vec_id % 4)::INT AS fold, [1.0::DOUBLE] || list_transform(embedding, lambda v: v::DOUBLE) AS v FROM embeddings), p AS (SELECT fold, v, unnest(range(65)) AS i FROM x), q AS (SELECT fold, i, v, unnest(range(65)) AS j FROM p) SELECT fold, i::INT AS i, j::INT AS j, round(sum(v[i + 1] * v[j + 1]), 4) AS total FROM q GROUP BY ALL"
+)
+def fold_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the regressions of all folds begin with: counts, sums and products of the features."""
+    found = moments(_features(spark, sf_dir))
+    rows = [(f, i, j, float(v)) for f, m in found.items() for i, line in enumerate(m) for j, v in enumerate(line)]
+    # features x features for each fold, whatever the rows
+    return spark.createDataFrame(rows, "fold int, i int, j int, total double").withColumn("total", F.round("total", 4))

@@ -16,7 +16,7 @@ from ..operators import validate as V
 from ..operators.metrics import METRIC_COLUMNS, metrics, rounded
 from ..operators.persist import cut
 from .evaluation import class_sql, metric_sql
-from .fixtures import DECISIONS_SQL, HASHES_SQL, MANIFEST_SQL, decisions, hashes, manifest, pred, sql, table
+from .fixtures import DECISIONS_SQL, HASHES_SQL, MANIFEST_SQL, PRED_SQL, decisions, hashes, manifest, pred, sql, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -160,6 +160,12 @@ def review_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions(spark, sf_dir).select("filename", "official_label", "reviewed_label", "review_status", F.lit("passthrough_v1").alias("label_version"))
 
 
+@query(sql(MANIFEST_SQL, DECISIONS_SQL, body="SELECT 'passthrough_v1' AS label_version, count(*) AS records, count(reviewed_label) AS decisions, count(*) FILTER (WHERE reviewed_label <> label) AS not_applied, 0::BIGINT AS changed FROM manifest LEFT JOIN (SELECT filename, reviewed_label FROM decisions) USING (filename) WHERE label IS NOT NULL"))
+def passthrough_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = manifest(spark, sf_dir).filter("label is not null").select("filename", "label")
+    return R.passthrough(rows, decisions(spark, sf_dir), "passthrough_v1")[1]
+
+
 @query(sql(MANIFEST_SQL, DECISIONS_SQL, body="SELECT m.filename, coalesce(d.official_label, m.label) AS label FROM manifest m LEFT JOIN decisions d USING (filename) WHERE m.label IS NOT NULL"))
 def label_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = manifest(spark, sf_dir).filter("label is not null").select("filename", "label")
@@ -340,9 +346,22 @@ def missing_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(labels, "doc_id", "left_anti").withColumn("problem", F.lit("without_label")).unionByName(labels.join(docs.filter("doc_id % 13 <> 0"), "doc_id", "left_anti").withColumn("problem", F.lit("without_file")))
 
 
-@query()
+_HELD = "list_transform(range(1, 5), lambda k: held[k][c] + CASE WHEN k = f THEN v[c] ELSE 0 END)"
+_COST = f"round(list_sum(list_transform(range(1, 8), lambda c: sqrt(4 * list_sum(list_transform({_HELD}, lambda x: x * x)) - list_sum({_HELD}) * list_sum({_HELD})) / greatest(t[c], 1))), 12)"
+DEAL_SQL = (
+    f"c AS (SELECT [{', '.join(f'count(*) FILTER (WHERE true_id = {i})' for i in range(7))}] AS v FROM pred GROUP BY group_id)",
+    f"tot AS (SELECT [{', '.join(f'sum(v[{i}])::BIGINT' for i in range(1, 8))}] AS t FROM c)",
+    "s AS (SELECT v, list_transform(range(1, 8), lambda i: v[i] / greatest(t[i], 1)) AS s FROM c, tot)",
+    "o AS (SELECT v, row_number() OVER (ORDER BY round(sqrt(list_sum(list_transform(s, lambda x: pow(x - list_sum(s) / 7, 2))) / 7), 9) DESC, v) AS i FROM s)",
+    f"""deal AS (SELECT 0::BIGINT AS i, list_transform(range(4), lambda k: list_transform(range(7), lambda c: 0::BIGINT)) AS held
+  UNION ALL SELECT i, list_transform(range(1, 5), lambda k: CASE WHEN k = best THEN list_transform(range(1, 8), lambda c: held[k][c] + v[c]) ELSE held[k] END) FROM (
+    SELECT o.i, v, held, list_sort(list_transform(range(1, 5), lambda f: [{_COST}, list_sum(held[f])::DOUBLE, f::DOUBLE]))[1][3]::BIGINT AS best FROM deal JOIN o ON o.i = deal.i + 1, tot))""",
+)
+
+
+@query(sql(PRED_SQL, *DEAL_SQL, body="SELECT fold::INT AS fold, true_id::INT AS true_id, held[fold + 1][true_id + 1] AS n FROM (SELECT held FROM deal ORDER BY i DESC LIMIT 1), (SELECT unnest(range(4)) AS fold), (SELECT unnest(range(7)) AS true_id) WHERE held[fold + 1][true_id + 1] > 0"))
 def group_kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows and class counts of each fold; the deal is deterministic but has no SQL."""
+    """Rows and class counts of each fold; the SQL deals the groups one by one."""
     rows = pred(spark, sf_dir).select("group_id", "true_id")
     dealt = K.group_folds(rows, "group_id", "true_id", 7)
     return rows.join(dealt, "group_id").groupBy("fold", "true_id").agg(F.count(F.lit(1)).alias("n"))

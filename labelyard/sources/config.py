@@ -45,6 +45,41 @@ def check_ensemble(config: dict, folds: int) -> list[dict]:
     return members
 
 
+def check_manifest(config: dict, labels: Sequence[str], model: dict, methods: Sequence[str]) -> list[dict]:
+    """The ensemble's members, in fold order, of a model manifest that is right in every part:
+    labels in their order; each field of ``model`` with its expected value (numbers and lists of
+    numbers by value, texts without case); a known ensemble method; as many checkpoints as folds and
+    weights, listed in fold order, each of them right by ``check_ensemble``."""
+    if not isinstance(config, dict):
+        raise ValueError("a manifest is an object")
+    if list(config.get("labels") or ()) != list(labels):
+        raise ValueError(f"labels {config.get('labels')}, expected {list(labels)}")
+    given, checkpoints, ensemble = config.get("model"), config.get("checkpoints"), config.get("ensemble")
+    if not isinstance(given, dict) or not isinstance(ensemble, dict):
+        raise ValueError("model and ensemble are objects")
+    for field, want in model.items():
+        if not _equal(given.get(field), want):
+            raise ValueError(f"model {field} {given.get(field)!r}, expected {want!r}")
+    if ensemble.get("method") not in methods:
+        raise ValueError(f"unknown method {ensemble.get('method')!r}, known: {sorted(methods)}")
+    if not isinstance(checkpoints, list) or not checkpoints or not all(isinstance(x, dict) for x in checkpoints):
+        raise ValueError("checkpoints are a list of objects, one at least")
+    weights = ensemble.get("weights")
+    if not isinstance(weights, list) or not len(weights) == len(checkpoints) == ensemble.get("fold_count"):
+        raise ValueError("fold count, weights and checkpoints differ in number")
+    if [x.get("fold") for x in checkpoints] != list(range(len(checkpoints))):
+        raise ValueError("checkpoints aren't in fold order")
+    return check_ensemble({"members": [x | {"weight": w, "path": str(x.get("path", "")), "sha256": str(x.get("sha256", ""))} for x, w in zip(checkpoints, weights, strict=True)]}, len(checkpoints))
+
+
+def _equal(given: object, want: object) -> bool:
+    if isinstance(want, str):
+        return isinstance(given, str) and given.lower() == want.lower()
+    if isinstance(want, (list, tuple)):
+        return isinstance(given, (list, tuple)) and len(given) == len(want) and all(_equal(a, b) for a, b in zip(given, want, strict=True))
+    return isinstance(given, (int, float)) and not isinstance(given, bool) and float(given) == float(want)
+
+
 def label_version_file(version: str, files: dict[str, str]) -> str:
     """The file of a label version."""
     if version not in files:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.names import casefold
 from ..operators.manifest import last_of_key, ranks
 from ..operators.validate import duplicate_keys, outside_domain, require, require_rows
 
@@ -43,8 +44,8 @@ def paths_of_names(files: DataFrame) -> DataFrame:
 
 
 def folded(name: Column | str) -> Column:
-    """``name`` without case; the sharp s equals ss."""
-    return F.regexp_replace(F.lower(name), "ß", "ss")
+    """``name`` without case, by full folding."""
+    return casefold(name)
 
 
 def unique_files(files: DataFrame) -> DataFrame:
