@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,8 +44,12 @@ class Folder:
         finally:
             out.close()
 
-    def names(self) -> list[str]:
-        return sorted(s.getPath().getName() for s in self.fs.listStatus(self.root) if s.isFile())
+    def read(self, name: str) -> str:
+        data = self.fs.open(self.at(self.root, name))
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(data, "UTF-8")
+        finally:
+            data.close()
 
     def move(self, path: str) -> None:
         if not self.fs.rename(self.root, self.at(path)):
@@ -55,7 +59,7 @@ class Folder:
         self.fs.delete(self.root, True)
 
 
-def _export(df: DataFrame, path: str, order: Sequence[str], line: Column, begin: str, end: str, line_end: str, allow_empty: bool) -> None:
+def _export(df: DataFrame, path: str, order: Sequence[str], line: Callable[[int], Column], begin: str, end: str, allow_empty: bool) -> None:
     spark = df.sparkSession
     if not allow_empty:
         require_rows(df)
@@ -65,14 +69,15 @@ def _export(df: DataFrame, path: str, order: Sequence[str], line: Column, begin:
     rows = positions(df, *order, name="_place")
     try:
         # partitions are in order and so are the numbers of their files
-        rows.select(line.alias("value")).write.option("lineSep", line_end).option("maxRecordsPerFile", PART_ROWS).text(beside)
+        rows.select(line(rows.count()).alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", PART_ROWS).text(beside)
         folder = Folder(spark, beside)
-        folder.write(BEGIN, begin.encode())
-        folder.write(END, end.encode())
+        for name, text in ((BEGIN, begin), (END, end)):
+            if text:
+                folder.write(name, text.encode())
         files = spark.read.format("binaryFile").load(beside).select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
         known = {r["name"]: r for r in files.collect()}
         body = sorted(n for n in known if n.startswith("part-") and n not in (BEGIN, END))
-        parts = [{"name": n, "bytes": known[n]["length"], "sha256": known[n]["sha256"]} for n in (BEGIN, *body, END)]
+        parts = [{"name": n, "bytes": known[n]["length"], "sha256": known[n]["sha256"]} for n in (BEGIN, *body, END) if n in known]
         folder.write(MANIFEST, (json.dumps({"order": list(order), "parts": parts}, indent=2) + "\n").encode())
         folder.move(path)
     except BaseException:
@@ -86,7 +91,8 @@ def ordered_csv(df: DataFrame, path: str, order: Sequence[str], columns: Sequenc
     tell apart follow in any order."""
     names = list(columns or df.columns)
     header = ",".join('"' + n.replace('"', '""') + '"' if any(c in n for c in ',"\n\r') else n for n in names)
-    _export(df, path, order, F.to_csv(F.struct(*[F.col(n).cast("string").alias(n) for n in names]), CSV), "\ufeff" + header + "\n", "", "\n", allow_empty)
+    line = F.to_csv(F.struct(*[F.col(n).cast("string").alias(n) for n in names]), CSV)
+    _export(df, path, order, lambda total: line, "\ufeff" + header + "\n", "", allow_empty)
 
 
 def ordered_json(df: DataFrame, path: str, order: Sequence[str], columns: Sequence[str] | None = None, allow_empty: bool = True) -> None:
@@ -95,15 +101,13 @@ def ordered_json(df: DataFrame, path: str, order: Sequence[str], columns: Sequen
     names = list(columns or df.columns)
     value = lambda n: F.regexp_extract(F.to_json(F.array(n)), r"(?s)^\[(.*)\]$", 1)
     fields = F.concat_ws(",\n", *[F.concat(F.lit(f"        {json.dumps(n, ensure_ascii=False)}: "), value(n)) for n in names])
-    # a record closes the one before it, so the first does not
-    line = F.concat(F.when(F.col("_place") > 0, ",\n").otherwise(""), F.lit("    {\n"), fields, F.lit("\n    }"))
-    rows = not df.isEmpty()
-    _export(df, path, order, line, "[\n" if rows else "[", "\n]\n" if rows else "]\n", "", allow_empty)
+    record = F.concat(F.lit("    {\n"), fields, F.lit("\n    }"))
+    line = lambda total: F.concat(record, F.when(F.col("_place") < total - 1, ",").otherwise(""))
+    _export(df, path, order, line, "[" if df.isEmpty() else "[\n", "]\n", allow_empty)
 
 
 def manifest(spark: SparkSession, path: str) -> dict:
-    text = spark.read.option("wholetext", True).text(f"{path}/{MANIFEST}").first()[0]
-    return json.loads(text)
+    return json.loads(Folder(spark, path).read(MANIFEST))
 
 
 def damaged_parts(spark: SparkSession, path: str) -> DataFrame:
@@ -120,7 +124,7 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     if not names:
         return spark.createDataFrame([], schema).withColumn("place", F.lit(0).cast("long"))
     options = {k: v for k, v in CSV.items() if k not in ("emptyValue", "nullValue")}
-    rows = spark.read.schema(schema).options(**options, multiLine=True, nullValue="").csv([f"{path}/{n}" for n in names])
+    rows = spark.read.schema(schema).options(**options, multiLine=True, lineSep="\n", nullValue="").csv([f"{path}/{n}" for n in names])
     return positions(rows.withColumns({"_file": F.input_file_name(), "_row": F.monotonically_increasing_id()}), "_file", "_row", name="place").drop("_file", "_row")
 
 

@@ -122,7 +122,7 @@ def headers(files: DataFrame) -> DataFrame:
     """One row for each of ``files`` (path, filename, length, content; as ``readers.scan_files`` has
     them with content): its format, size as stored and as seen upright, EXIF orientation, and the
     kind of error if it can't be used. No file fails the job. Contents stay in their tasks; they come
-    from Spark's reader, so any store will do."""
+    from Spark's reader, so any store will do; it leaves out files without a byte."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
