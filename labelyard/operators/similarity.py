@@ -29,7 +29,8 @@ def unit(vectors: pd.Series) -> np.ndarray:
 
 
 def _product(k: int):
-    """The k best of a block of base rows for each query in a block: one matrix product."""
+    """The k best of a block of base rows for each query in a block, by one matrix product; of these
+    only the ones that reach the query's ``least``, where it has one."""
 
     def product(rows: pd.DataFrame) -> pd.DataFrame:
         queries, base = (rows[rows["is_query"] == want].sort_values("id") for want in (True, False))
@@ -37,7 +38,10 @@ def _product(k: int):
             return pd.DataFrame({"query_id": [], "base_id": [], "cosine": []})
         c = np.round(unit(queries["vec"]) @ unit(base["vec"]).T, 6)
         top = np.argsort(-c, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"query_id": np.repeat(queries["id"].to_numpy(), top.shape[1]), "base_id": base["id"].to_numpy()[top].ravel(), "cosine": np.take_along_axis(c, top, 1).ravel()})
+        best = np.take_along_axis(c, top, 1)
+        least = queries["least"].to_numpy() if "least" in queries else np.full(len(queries), -2.0)
+        at, place = np.nonzero(best >= least[:, None])
+        return pd.DataFrame({"query_id": queries["id"].to_numpy()[at], "base_id": base["id"].to_numpy()[top[at, place]], "cosine": best[at, place]})
 
     return product
 
@@ -98,20 +102,20 @@ class CellIndex:
         return rows.mapInPandas(run, f"id long, vec {rows.schema['vec'].dataType.simpleString()}, cell int, angle double")
 
     def _compared(self, pairs: DataFrame, k: int) -> DataFrame:
-        """The k best in a cell for ``pairs`` (id, vec, cell). Both sides of a cell are cut into
-        blocks, every pair of which is a task's work."""
+        """The k best in a cell for ``pairs`` (id, vec, cell, least), if they reach the cosine
+        ``least``. Both sides of a cell are cut into blocks, every pair of which is a task's work."""
         size = F.array(*[F.lit(max(1, -(-int(n) // BLOCK))) for n in self.size])
         # a row for each cell at most
         asked = F.broadcast(pairs.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_parts")))
         part = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-        some, base = (d.select("id", "vec", "cell").join(asked, "cell").withColumn("_size", F.get(size, F.col("cell"))) for d in (pairs, self.rows))
+        some, base = (d.select("id", "vec", "cell", least).join(asked, "cell").withColumn("_size", F.get(size, F.col("cell"))) for d, least in ((pairs, F.col("least")), (self.rows, F.lit(0.0).alias("least"))))
         q = some.withColumn("qb", part(F.col("_parts"))).withColumn("bb", every(F.col("_size"))).withColumn("is_query", F.lit(True))
         b = base.withColumn("bb", part(F.col("_size"))).withColumn("qb", every(F.col("_parts"))).withColumn("is_query", F.lit(False))
         return q.unionByName(b).drop("_parts", "_size").groupBy("cell", "qb", "bb").applyInPandas(_product(k), NEIGHBOURS)
 
     def _others(self, asked: DataFrame) -> DataFrame:
-        """(id, vec, cell): the cells besides its own that can hold one of the k nearest of a query,
+        """(id, vec, cell, least): the cells besides its own that can hold one of the k nearest of a query,
         from (id, vec, cell, least), where ``least`` is the k-th cosine that it has found."""
         centres, radius, filled = self.centres, self.radius, self.size > 0
 
@@ -122,9 +126,9 @@ class CellIndex:
                 reach = filled & (most >= some["least"].to_numpy()[:, None] - ROUNDING)
                 reach[np.arange(len(some)), some["cell"]] = False
                 at, cell = np.nonzero(reach)
-                yield pd.DataFrame({"id": some["id"].to_numpy()[at], "vec": some["vec"].to_numpy()[at], "cell": cell.astype("int32")})
+                yield pd.DataFrame({"id": some["id"].to_numpy()[at], "vec": some["vec"].to_numpy()[at], "cell": cell.astype("int32"), "least": some["least"].to_numpy()[at]})
 
-        return asked.mapInPandas(run, f"id long, vec {asked.schema['vec'].dataType.simpleString()}, cell int")
+        return asked.mapInPandas(run, f"id long, vec {asked.schema['vec'].dataType.simpleString()}, cell int, least double")
 
     def search(self, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
         """The same rows as ``cosine_topk``, and the (id, cell) that were compared for them. Query
@@ -133,7 +137,7 @@ class CellIndex:
             none = queries.sparkSession.createDataFrame([], NEIGHBOURS)
             return _ranked(none, k), none.select(F.col("query_id").alias("id"), F.lit(0).alias("cell"))
         asked = cut(self._placed(queries.filter("vec is not null").select(F.col("id").cast("long").alias("id"), "vec")))
-        near = cut(_ranked(self._compared(asked, k), k))
+        near = cut(_ranked(self._compared(asked.withColumn("least", F.lit(-2.0)), k), k))
         least = near.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("cosine").alias("least"))
         others = cut(self._others(asked.join(least, "id", "left").select("id", "vec", "cell", F.coalesce("least", F.lit(-2.0)).alias("least"))))
         far = self._compared(others, k)
