@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import batches, leave
 
 #: Chunks, and matches, whose ids a worker remembers.
 CACHE_PIECES = 500_000
@@ -118,9 +118,10 @@ _codecs: dict[tuple[str, str], Codec] = {}
 
 
 def codec(ranks_path: str, pattern: str) -> Codec:
-    """One codec for each worker process."""
+    """One codec for each worker process, until another operator takes it over."""
     if (ranks_path, pattern) not in _codecs:
         _codecs[ranks_path, pattern] = Codec(ranks_path, pattern)
+    leave("bytebpe", _codecs.clear)
     return _codecs[ranks_path, pattern]
 
 
@@ -129,7 +130,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern)
-        for batch, texts in batches(it):
+        for batch, texts in batches(it, owner="bytebpe"):
             ids = own.encode([t.decode() for t in texts])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
@@ -141,7 +142,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern)
-        for batch, ids in batches(it, "ids"):
+        for batch, ids in batches(it, "ids", "bytebpe"):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([own.decode(i) for i in ids], pa.binary())], names=["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")

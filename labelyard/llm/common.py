@@ -15,8 +15,8 @@ from ..operators.persist import cut as cut
 
 #: Rows in an Arrow batch; texts may be long, so a batch must stay small.
 BATCH_ROWS = 1024
-#: Bytes of text that a numpy kernel takes at once.
-CHUNK_BYTES = 1 << 21
+#: Bytes of text that a numpy kernel takes at once; it needs about 75 times as many.
+CHUNK_BYTES = 1 << 19
 
 M1, M2, GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -52,9 +52,29 @@ def give_back() -> None:
         trim(0)
 
 
-def batches(it: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+#: How to forget what an operator's tasks have left in this worker process for their next ones.
+_left: dict[str, Callable[[], None]] = {}
+
+
+def leave(owner: str, forget: Callable[[], None]) -> None:
+    """Says that the tasks of ``owner`` leave something in this process, until ``forget`` is called."""
+    _left[owner] = forget
+
+
+def take_over(owner: str = "") -> None:
+    """Forgets what tasks of other operators than ``owner`` have left in this process. A worker is
+    handed from one operator to the next, and what it remembers counts against the executor."""
+    if others := [name for name in _left if name != owner]:
+        for name in others:
+            _left.pop(name)()
+        give_back()
+
+
+def batches(it: Iterator[pa.RecordBatch], column: str = "text", owner: str = "") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with at most CHUNK_BYTES of text (one row at least), with that text.
-    Behind the last one, memory is given back."""
+    Before the first one, what other operators have left here is forgotten; behind the last one,
+    memory is given back."""
+    take_over(owner)
     for batch in it:
         texts = as_bytes(batch.column(batch.schema.get_field_index(column)))
         start, held = 0, 0

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, give_back
+from .common import cut, give_back, leave, take_over
 
 CAPACITY = 4096
 END_ID = 1
@@ -147,15 +147,18 @@ _encoders: dict[str, WordEncoder] = {}
 
 
 def encoder(path: str) -> WordEncoder:
-    """One encoder for each worker process."""
+    """One encoder for each worker process, until another operator takes it over."""
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
+    leave("packing", _encoders.clear)
     return _encoders[path]
 
 
 def blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches put together up to BLOCK_BYTES, as a block's distinct words are looked up once. Behind
-    the last one, memory is given back."""
+    """Batches put together up to BLOCK_BYTES, as a block's distinct words are looked up once. Before
+    the first one, what other operators have left here is forgotten; behind the last one, memory is
+    given back."""
+    take_over("packing")
     held: list[pa.RecordBatch] = []
     for batch in it:
         if held and sum(b.nbytes for b in held) + batch.nbytes > BLOCK_BYTES:

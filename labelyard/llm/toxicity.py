@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, batches, cut, fold, give_back, kept_rows, labelled, sigmoid
+from .common import Words, batches, cut, fold, give_back, kept_rows, labelled, sigmoid, take_over
 
 #: Labelled rows that a model is fitted on, at most (half of them toxic, if there are as many).
 FIT_ROWS = 6_000
@@ -230,6 +230,7 @@ def trained_in_tasks(sample: DataFrame) -> list[Network]:
     own, which holds the bounded sample."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        take_over()
         rows = rows.sort_values("place")
         net = trained(int(rows["net"].iloc[0]), [unpacked(b) for b in rows["ids"]], rows["y"].to_numpy(float))
         to = io.BytesIO()
