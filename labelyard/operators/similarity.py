@@ -15,6 +15,8 @@ from .persist import cut
 BLOCK = 4096
 #: Cells of an index at most, vectors of one on average, and vectors that centres are fitted on.
 MOST_CELLS, CELL, FIT_ROWS = 2048, 1024, 32_768
+#: Cosines that a task holds at once, and rows that it returns at once.
+STRIP, ROWS = 1 << 18, 4096
 #: What rounding can add to a cosine, and to the angles of a bound.
 ROUNDING = 1e-5
 NEIGHBOURS = "query_id long, base_id long, cosine double"
@@ -28,20 +30,41 @@ def unit(vectors: pd.Series) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
 
+def strips(n: int, width: int) -> Iterator[slice]:
+    """Slices of n rows with at most STRIP values of ``width`` in a row (one row at least)."""
+    step = max(1, STRIP // max(width, 1))
+    return (slice(at, min(at + step, n)) for at in range(0, n, step))
+
+
+def _best(c: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k largest of each row that reach its ``least``; of equals the first
+    columns. NaN is never among them."""
+    c[np.isnan(c)] = -3
+    if k < c.shape[1]:
+        least = np.maximum(least, np.partition(c, c.shape[1] - k, axis=1)[:, c.shape[1] - k])
+    row, col = np.nonzero(c >= least[:, None])
+    order = np.lexsort((col, -c[row, col], row))
+    row, col = row[order], col[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], col[keep]
+
+
 def _product(k: int):
-    """The k best of a block of base rows for each query in a block, by one matrix product; of these
-    only the ones that reach the query's ``least``, where it has one."""
+    """The k best of a block of base rows for each query in a block, by matrix products of strips of
+    the queries; of these only the ones that reach the query's ``least``, where it has one."""
 
     def product(rows: pd.DataFrame) -> pd.DataFrame:
         queries, base = (rows[rows["is_query"] == want].sort_values("id") for want in (True, False))
         if queries.empty or base.empty:
             return pd.DataFrame({"query_id": [], "base_id": [], "cosine": []})
-        c = np.round(unit(queries["vec"]) @ unit(base["vec"]).T, 6)
-        top = np.argsort(-c, axis=1, kind="stable")[:, :k]
-        best = np.take_along_axis(c, top, 1)
+        q, b, ids, base_ids = unit(queries["vec"]), unit(base["vec"]).T, queries["id"].to_numpy(), base["id"].to_numpy()
         least = queries["least"].to_numpy() if "least" in queries else np.full(len(queries), -2.0)
-        at, place = np.nonzero(best >= least[:, None])
-        return pd.DataFrame({"query_id": queries["id"].to_numpy()[at], "base_id": base["id"].to_numpy()[top[at, place]], "cosine": best[at, place]})
+        found = []
+        for some in strips(len(q), b.shape[1]):
+            c = np.round(q[some] @ b, 6)
+            row, col = _best(c, k, least[some])
+            found.append((ids[some][row], base_ids[col], c[row, col]))
+        return pd.DataFrame(dict(zip(("query_id", "base_id", "cosine"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
     return product
 
@@ -55,8 +78,8 @@ def cosine_topk(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, base_id, cosine) of the k nearest of ``base`` for rows (id, vec); cosines
     are rounded to 6 places first, ties go to the smaller id.
 
-    Both sides are dealt into blocks; each pair of blocks is one matrix product that keeps k
-    neighbours of each query, so a task holds two blocks and no pair table is made.
+    Both sides are dealt into blocks; each pair of blocks is a task's work that keeps k neighbours
+    of each query, so a task holds two blocks and a strip of their cosines and no pair table is made.
     """
 
     def blocks(df: DataFrame, name: str) -> tuple[DataFrame, int]:
@@ -96,8 +119,8 @@ class CellIndex:
 
         def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for some in it:
-                c = np.clip(unit(some["vec"]) @ centres.T, -1, 1) if len(some) else np.zeros((0, 1))
-                yield some.assign(cell=c.argmax(axis=1), angle=np.arccos(c.max(axis=1, initial=-1)))
+                cell, c = _nearest(unit(some["vec"]), centres)
+                yield some.assign(cell=cell, angle=np.arccos(c))
 
         return rows.mapInPandas(run, f"id long, vec {rows.schema['vec'].dataType.simpleString()}, cell int, angle double")
 
@@ -117,17 +140,7 @@ class CellIndex:
     def _others(self, asked: DataFrame) -> DataFrame:
         """(id, vec, cell, least): the cells besides its own that can hold one of the k nearest of a query,
         from (id, vec, cell, least), where ``least`` is the k-th cosine that it has found."""
-        centres, radius, filled = self.centres, self.radius, self.size > 0
-
-        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for some in it:
-                angle = np.arccos(np.clip(unit(some["vec"]) @ centres.T, -1, 1)) if len(some) else np.zeros((0, len(centres)))
-                most = np.cos(np.clip(angle - np.where(filled, radius, 0) - ROUNDING, 0, np.pi))
-                reach = filled & (most >= some["least"].to_numpy()[:, None] - ROUNDING)
-                reach[np.arange(len(some)), some["cell"]] = False
-                at, cell = np.nonzero(reach)
-                yield pd.DataFrame({"id": some["id"].to_numpy()[at], "vec": some["vec"].to_numpy()[at], "cell": cell.astype("int32"), "least": some["least"].to_numpy()[at]})
-
+        run = _reaching(self.centres, self.radius, self.size > 0)
         return asked.mapInPandas(run, f"id long, vec {asked.schema['vec'].dataType.simpleString()}, cell int, least double")
 
     def search(self, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
@@ -144,13 +157,42 @@ class CellIndex:
         return _ranked(near.drop("rank").unionByName(far), k), asked.select("id", "cell").unionByName(others.select("id", "cell"))
 
 
+def _nearest(v: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The centre of the largest cosine for each row, and that cosine within [-1, 1]."""
+    cell, best = np.zeros(len(v), int), np.full(len(v), -1.0)
+    for some in strips(len(v), len(centres)):
+        c = np.clip(v[some] @ centres.T, -1, 1)
+        cell[some], best[some] = c.argmax(axis=1), c.max(axis=1, initial=-1)
+    return cell, best
+
+
+def _reaching(centres: np.ndarray, radius: np.ndarray, filled: np.ndarray):
+    """For rows (id, vec, cell, least) a row for each other cell that can reach ``least``, in frames of
+    ROWS at most: a query that can skip nothing reaches every cell."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for some in it:
+            v, ids, vec, own, least = unit(some["vec"]), *(some[c].to_numpy() for c in ("id", "vec", "cell", "least"))
+            for part in strips(len(v), len(centres)):
+                angle = np.arccos(np.clip(v[part] @ centres.T, -1, 1))
+                most = np.cos(np.clip(angle - np.where(filled, radius, 0) - ROUNDING, 0, np.pi))
+                reach = filled & (most >= least[part][:, None] - ROUNDING)
+                reach[np.arange(len(reach)), own[part]] = False
+                at, cell = np.nonzero(reach)
+                for a in range(0, len(at), ROWS):
+                    which = part.start + at[a : a + ROWS]
+                    yield pd.DataFrame({"id": ids[which], "vec": vec[which], "cell": cell[a : a + ROWS].astype("int32"), "least": least[which]})
+
+    return run
+
+
 def fit_centres(v: np.ndarray, cells: int, steps: int = 6) -> np.ndarray:
     """Unit centres by spherical k-means from evenly taken rows; without rows one zero centre."""
     if not len(v):
         return np.zeros((1, max(v.shape[1], 1)))
     centres = v[np.linspace(0, len(v) - 1, min(cells, len(v))).astype(int)]
     for _ in range(steps):
-        own = (v @ centres.T).argmax(axis=1)
+        own = _nearest(v, centres)[0]
         sums = np.zeros_like(centres)
         np.add.at(sums, own, v)
         length = np.linalg.norm(sums, axis=1, keepdims=True)
