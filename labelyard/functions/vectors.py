@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value: Column | str, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` evaluated once for a row. Where Spark puts a column's expression in
+    place of its name, as in a filter that it pushes down, each use of the name evaluates it again, and
+    one inside a lambda function does so for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def argmax(v: Column | str) -> Column:
     """Place (from 0) of the largest value; the first of equals."""
     return (F.array_position(v, F.array_max(v)) - 1).cast("int")
@@ -30,13 +39,13 @@ def dot(a: Column | str, b: Column | str) -> Column:
 
 def normalized(v: Column | str) -> Column:
     """The vector at length 1; a zero vector gives nulls."""
-    size = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    return F.transform(v, lambda x: F.try_divide(x.cast("double"), size))
+    size = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    return once(v, lambda v: once(size(v), lambda size: F.transform(v, lambda x: F.try_divide(x.cast("double"), size))))
 
 
 def softmax(v: Column | str) -> Column:
-    e = F.transform(v, lambda x: F.exp(x - F.array_max(v)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+    e = lambda v: once(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top)))
+    return once(once(v, e), lambda e: once(total(e), lambda size: F.transform(e, lambda x: x / size)))
 
 
 def margin(v: Column | str) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import once
+
 
 def require(violations: DataFrame, what: str) -> None:
     """Raises ValueError with an example if there is a violation. One action."""
@@ -40,10 +42,10 @@ def outside_domain(df: DataFrame, column: str, allowed: Iterable[str]) -> DataFr
 
 def simplex_violations(df: DataFrame, probs: str, size: int, tolerance: float = 2e-5) -> DataFrame:
     """Rows whose probabilities aren't ``size`` finite numbers in [0, 1] that sum to 1."""
-    p = F.col(probs)
-    total = F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
-    odd = F.exists(p, lambda x: x.isNull() | F.isnan(x) | (x < 0) | (x > 1))
-    return df.filter(F.coalesce((F.size(p) != size) | odd | (F.abs(total - 1) > tolerance), F.lit(True)))
+    total = lambda p: F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
+    odd = lambda p: F.exists(p, lambda x: x.isNull() | F.isnan(x) | (x < 0) | (x > 1))
+    broken = once(probs, lambda p: (F.size(p) != size) | odd(p) | (F.abs(total(p) - 1) > tolerance))
+    return df.filter(F.coalesce(broken, F.lit(True)))
 
 
 def missing_parents(child: DataFrame, parent: DataFrame, *keys: str) -> DataFrame:

@@ -18,9 +18,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _weights(step: int) -> list[Column]:
-    k, e = F.col("k"), F.col("event_id")
-    return [F.lit(1) + (k * (i + step) + e * (i + 1)) % 17 for i in range(6)] + [F.lit(0).cast("long")]
+def _weights(step: int) -> Column:
+    e = F.col("event_id")
+    return vectors.once("k", lambda k: F.array(*[F.lit(1) + (k * (i + step) + e * (i + 1)) % 17 for i in range(6)], F.lit(0).cast("long")))
 
 
 def pred(spark: SparkSession, sf_dir: str, step: int = 3) -> DataFrame:
@@ -28,10 +28,11 @@ def pred(spark: SparkSession, sf_dir: str, step: int = 3) -> DataFrame:
     rows = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
     rows = rows.select(
         "event_id", F.concat(F.col("event_id").cast("string"), F.lit(".jpg")).alias("filename"), F.col("user_id").alias("group_id"), (F.col("user_id") % 4).cast("int").alias("fold"),
-        F.col("event_id").alias("frame"), names.encode("event_type", LABELS).alias("true_id"), F.array(*_weights(step)).alias("w"),
+        F.col("event_id").alias("frame"), names.encode("event_type", LABELS).alias("true_id"), _weights(step).alias("w"),
     )
-    size = F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + x)
-    return rows.withColumn("probs", F.transform("w", lambda x: x / size)).withColumn("pred_id", vectors.argmax("w"))
+    size = lambda w: F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + x)
+    probs = vectors.once("w", lambda w: vectors.once(size(w), lambda size: F.transform(w, lambda x: x / size)))
+    return rows.withColumn("probs", probs).withColumn("pred_id", vectors.argmax("w"))
 
 
 def pred2(spark: SparkSession, sf_dir: str) -> DataFrame:
